@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import table
+from .lines import line_report
 from .mixing import draw_plan, taken
 from .packing import pack
+from .simhash import simhash_components
+
+
+def op1_lines(spark, sf_dir):
+    return line_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op2_simhash(spark, sf_dir):
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op4_mixing(spark, sf_dir):
@@ -25,5 +36,8 @@ def op9_packing(spark, sf_dir):
     return placed.select(F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op9_packing": op9_packing}
+QUERIES = {
+    "op1_lines": op1_lines,
+    "op2_simhash": op2_simhash,
+   "op4_mixing": op4_mixing, "op9_packing": op9_packing}
 ORACLE_SQL: dict[str, str] = {}
