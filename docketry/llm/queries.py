@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import table
+from . import lm
+from .common import held, table
 from .lines import line_report
 from .mixing import draw_plan, taken
 from .packing import pack
@@ -36,8 +37,17 @@ def op9_packing(spark, sf_dir):
     return placed.select(F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op8_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = lm.fit(docs.where(held("doc_id", 7) != 2).select("text"))
+    return lm.score(docs, model).withColumnRenamed("id", "doc_id").withColumn("held_out", held("doc_id", 7) == 2)
+
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_simhash": op2_simhash,
-   "op4_mixing": op4_mixing, "op9_packing": op9_packing}
+    "op4_mixing": op4_mixing,
+    "op8_lm": op8_lm,
+    "op9_packing": op9_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
