@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lm
+from . import lm, neighbours, topk
 from .common import held, table
 from .lines import line_report
 from .mixing import draw_plan, taken
@@ -37,6 +37,14 @@ def op9_packing(spark, sf_dir):
     return placed.select(F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op5_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op6_embeddings(spark, sf_dir):
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op8_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = lm.fit(docs.where(held("doc_id", 7) != 2).select("text"))
@@ -47,7 +55,9 @@ QUERIES = {
     "op1_lines": op1_lines,
     "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
+    "op5_topk": op5_topk,
+    "op6_embeddings": op6_embeddings,
     "op8_lm": op8_lm,
     "op9_packing": op9_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_topk": topk.ORACLE, "op6_embeddings": neighbours.ORACLE}
