@@ -59,7 +59,7 @@ class SortedLists:
         exact = float(np.abs(q).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * q.shape[1] < 2**53
         x, qs = (self.x, q) if exact else (self.x.astype(np.int64), q.astype(np.int64))
         seen = np.zeros(n, dtype=bool)
-        none = np.iinfo(np.int64).min
+        none = np.iinfo(np.int64).min + 1  # whose negative is a number too
         best = np.full((len(q), k), none, dtype=np.int64)
         index = np.full((len(q), k), n, dtype=np.int64)
         depth = first_depth
@@ -83,7 +83,7 @@ class SortedLists:
                     some = np.tile(np.arange(len(new)), (len(live), 1))
                 scores = np.concatenate((best[live], np.take_along_axis(score, some, axis=1)), axis=1)
                 places = np.concatenate((index[live], np.where(np.take_along_axis(score, some, axis=1) == none, n, new[some])), axis=1)
-                order = np.lexsort((places, -np.maximum(scores, none + 1)), axis=1)[:, :k]
+                order = np.lexsort((places, -scores), axis=1)[:, :k]
                 best[live], index[live] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(places, order, axis=1)
             if depth >= n:
                 break
