@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lm, neighbours, topk
+from . import licenses, lm, neighbours, topk, toxicity
 from .common import held, table
 from .lines import line_report
 from .mixing import draw_plan, taken
@@ -21,6 +21,13 @@ def op2_simhash(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    train = toxicity.training_rows(docs, labels.where(held("doc_id", 5) != 0))
+    found = toxicity.score(docs, toxicity.train(train)).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (held("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_mixing(spark, sf_dir):
     plan = draw_plan(table(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken().alias("taken"))
@@ -45,6 +52,10 @@ def op6_embeddings(spark, sf_dir):
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op7_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = lm.fit(docs.where(held("doc_id", 7) != 2).select("text"))
@@ -54,9 +65,11 @@ def op8_lm(spark, sf_dir):
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
     "op6_embeddings": op6_embeddings,
+    "op7_licenses": op7_licenses,
     "op8_lm": op8_lm,
     "op9_packing": op9_packing,
 }
