@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import licenses, lm, neighbours, topk, toxicity
+from . import licenses, lm, neighbours, pii, topk, toxicity
 from .common import held, table
 from .lines import line_report
 from .mixing import draw_plan, taken
@@ -62,6 +62,14 @@ def op8_lm(spark, sf_dir):
     return lm.score(docs, model).withColumnRenamed("id", "doc_id").withColumn("held_out", held("doc_id", 7) == 2)
 
 
+def op10_pii(spark, sf_dir):
+    found = pii.redact_spans(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    every = pii.written(F.array_sort(F.concat("base", "added")))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), every.alias("spans"))
+
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_simhash": op2_simhash,
@@ -72,5 +80,6 @@ QUERIES = {
     "op7_licenses": op7_licenses,
     "op8_lm": op8_lm,
     "op9_packing": op9_packing,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL = {"op5_topk": topk.ORACLE, "op6_embeddings": neighbours.ORACLE}
