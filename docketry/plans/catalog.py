@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import policy_queries, policy_sql
+
+_PARTS = ((policy_queries.QUERIES, policy_sql.ORACLES),)
+
 
 def flagship(spark, sf_dir):
     return queries()["full_pipeline"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for own, _ in _PARTS for k, v in own.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for _, own in _PARTS for k, v in own.items()}
