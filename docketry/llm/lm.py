@@ -17,8 +17,6 @@ training text N = V = 0 and every token is unseen.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,13 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-END = b"\n"  # no word holds white space
 SEGMENTS = 4096
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+#: Texts are read in chunks of about so many bytes, tokens in arrays.
+CHUNK = 600_000
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -43,6 +39,71 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: One random number a byte value, and an odd base; the sums below are polynomials of them modulo 2**64.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX1)
+BASE = np.uint64(0xD1342543DE82EF95)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n - 1, b, dtype=np.uint64)))) for b in (BASE, INVERSE)]
+    return _POWERS
+
+
+class Tokens:
+    """The tokens of some texts: where each begins and stops in `raw`, its hash, and which are ends of texts.
+
+    The first token is an end too: it stands before the first text as the last text's end stands before the next.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.raw = (b" \n " + b" \n ".join(parts) + b" \n ").lower()
+        a = np.frombuffer(self.raw, dtype=np.uint8)
+        inside = ~SPACE[a]
+        marks = np.concatenate(([1], 1 + np.cumsum([len(p) + 3 for p in parts], dtype=np.int64)))
+        inside[marks] = True
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        self.starts, self.stops = edges[::2], edges[1::2]
+        up, down = powers(max(len(a), CHUNK * 2))
+        sums = np.zeros(len(a) + 1, dtype=np.uint64)
+        np.cumsum(BYTES[a] * up[: len(a)], out=sums[1:])
+        self.hashes = mixed((sums[self.stops] - sums[self.starts]) * down[self.starts] + (self.stops - self.starts).astype(np.uint64) * MIX2)
+        self.ends = np.searchsorted(self.starts, marks)
+
+    def words(self, at: np.ndarray) -> list[bytes]:
+        raw = self.raw
+        return [raw[a:b] for a, b in zip(self.starts[at].tolist(), self.stops[at].tolist())]
+
+
+END_HASH = Tokens([]).hashes[0]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Of words as the vocabulary has them; the end token is the word of one line feed."""
+    plain = [w for w in words if w != b"\n"]
+    out = np.full(len(words), END_HASH, dtype=np.uint64)
+    if plain:
+        found = Tokens([b" ".join(plain).decode("utf-8", "surrogatepass")]).hashes[1:-1]
+        out[np.array([w != b"\n" for w in words])] = found
+    return out
+
+
+def chunks(batch: pa.RecordBatch, column: int):
+    """Slices of a batch with about CHUNK characters, one text at least: (from, texts)."""
+    at, held, n = 0, [], 0
+    for i, text in enumerate(batch.column(column)):
+        held.append(text.as_py())
+        n += len(held[-1] or "")
+        if n > CHUNK:
+            yield at, held
+            at, held, n = i + 1, [], 0
+    if held:
+        yield at, held
+
+
 def bigram_hashes(ids: np.ndarray) -> np.ndarray:
     """Of each token after the first with the one before it."""
     return mixed(ids[:-1] * MIX1 + (ids[1:] ^ MIX2))
@@ -98,18 +159,6 @@ def estimates() -> np.ndarray:
     return np.concatenate(([0.0], (low[1:] * 3 - 1) / 2))
 
 
-class Hashes(dict):
-    """Word -> hash, kept while the table is small."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def count_words(texts: DataFrame) -> DataFrame:
     """(word binary, c): over every text; tasks send one row a word and table-full."""
 
@@ -117,13 +166,17 @@ def count_words(texts: DataFrame) -> DataFrame:
         def rows(counter):
             return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], ["word", "c"])
 
-        counter: Counter = Counter()
+        counter: dict[bytes, int] = {}
         for batch in batches:
-            for text in batch.column(0):
-                counter.update(words_of(text.as_py()))
+            for _, held in chunks(batch, 0):
+                found = Tokens(held)
+                _, first, count = np.unique(found.hashes[1:], return_index=True, return_counts=True)
+                have = counter.get
+                for word, c in zip(found.words(first + 1), count.tolist()):
+                    counter[word] = have(word, 0) + c
                 if len(counter) > 400_000:
                     yield rows(counter)
-                    counter = Counter()
+                    counter = {}
         yield rows(counter)
 
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -133,17 +186,16 @@ def count_bigrams(texts: DataFrame, partitions: int) -> DataFrame:
     """(segment, gram, c), partitioned by segment."""
 
     def run(batches):
-        hashes, held, n = Hashes(), [], 0
+        held, n = [], 0
 
         def rows():
             gram, c = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(c.astype(np.int32))], ["gram", "c"])
 
         for batch in batches:
-            for text in batch.column(0):
-                words = [END, *words_of(text.as_py())]
-                held.append(bigram_hashes(np.array(list(map(hashes.__getitem__, words)), dtype=np.uint64)))
-                n += len(words) - 1
+            for _, texts_held in chunks(batch, 0):
+                held.append(bigram_hashes(Tokens(texts_held).hashes))
+                n += len(held[-1])
                 if n > 2_000_000:
                     yield rows()
                     held, n = [], 0
@@ -162,10 +214,8 @@ def build_filter(vocabulary: DataFrame, texts: DataFrame, *, tokens: int, max_fi
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(SEGMENTS, -(-tokens // 4_000_000)))
 
     def unigrams(batches):
-        import xxhash
-
         for batch in batches:
-            gram = np.array([xxhash.xxh64_intdigest(w) for w in batch.column(0).to_pylist()], dtype=np.uint64)
+            gram = word_hashes(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(segment_of(gram).astype(np.int32)), pa.array(gram.view(np.int64)), batch.column(1)], ["segment", "gram", "c"])
 
     def insert(batches):
@@ -209,7 +259,10 @@ def fit(texts: DataFrame, *, max_filter_mb=64, head_words=100_000, mu=200.0) ->
         if n > head_words:
             break
         least = r["bucket"]
-    head = {bytes(r["word"]): r["c"] for r in vocabulary.where(bucket >= least).collect()}  # at most head_words rows
+    head = vocabulary.where(bucket >= least).collect()  # at most head_words rows
+    hashes = word_hashes([bytes(r["word"]) for r in head])
+    order = np.argsort(hashes)
+    head = hashes[order], np.array([r["c"] for r in head], dtype=np.int64)[order]
     made = build_filter(vocabulary, texts, tokens=tokens, max_filter_mb=max_filter_mb)
     return {"vocabulary": vocabulary, "tokens": tokens, "distinct": distinct, "head": head, "filter": made, "mu": mu}
 
@@ -222,59 +275,34 @@ def score(docs: DataFrame, model: dict, *, id_col="doc_id", text_col="text") ->
     id_type = docs.schema[id_col].dataType
 
     def run(batches):
-        head, bloom = shared.value
-        middle, part = estimates(), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        serial = 0
-
-        def scored(ids, texts):
-            nonlocal serial
-            lists = [[END, *words_of(t)] for t in texts]
-            seen: dict[bytes, int] = {}
-            local = np.array([seen.setdefault(w, len(seen)) for ws in lists for w in ws], dtype=np.int64)
-            words = list(seen)
-            hashes = Hashes()
-            h = np.array([hashes[w] for w in words], dtype=np.uint64)
-            exact = np.array([head.get(w, -1) for w in words], dtype=np.int64)
-            tail = exact < 0
+        (head_hash, head_count), bloom = shared.value
+        middle, uid = estimates(), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+        head_hash, head_count = np.append(head_hash, np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(head_count, -1)
+
+        def scored(texts):
+            found = Tokens(texts)
+            own, back = np.unique(found.hashes, return_inverse=True)
+            at = np.searchsorted(head_hash, own)
+            exact = np.where(head_hash[at] == own, head_count[at], -1)
+            rare = exact < 0
             c = exact.astype(float)
-            c[tail] = middle[bloom.levels(h[tail])]
-            unigram, base = (c + 1) / total, np.log10((np.maximum(exact, 0) + 1) / total)
-            sizes = np.array([len(ws) for ws in lists])
-            stops = np.cumsum(sizes)
-            starts = stops - sizes
-            gram, back = np.unique(bigram_hashes(h[local]), return_inverse=True)
-            c2 = middle[bloom.levels(gram)][back]
-            v, w = local[:-1], local[1:]
-            p = np.zeros(len(local))
-            p[1:] = np.log10((c2 + mu * unigram[w]) / (np.maximum(c[v], c2) + mu))
-            keep = np.ones(len(local), dtype=bool)
-            keep[starts] = False  # the start symbol
-            value = np.add.reduceat(np.where(keep, p, 0), starts)
-            is_tail = tail[local] & keep
-            base_sum = np.add.reduceat(np.where(keep & ~is_tail, base[local], 0), starts)
-            known = np.add.reduceat((keep & (exact[local] > 0)).astype(np.int64), starts)
-            rest = [words[k] for k in local[is_tail]]
-            offsets = np.concatenate(([0], np.cumsum(np.add.reduceat(is_tail.astype(np.int64), starts)))).astype(np.int32)
-            uid = part + serial + np.arange(len(texts))
-            serial += len(texts)
-            lists_of = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rest, pa.binary()))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(uid), pa.array(ids, id_type_arrow), pa.array(sizes - 1), pa.array(known), pa.array(base_sum), pa.array(value), lists_of],
-                ["uid", "id", "n_tokens", "known", "base", "score", "rest"],
-            )
+            c[rare] = middle[bloom.levels(own[rare])]
+            unigram, base = (c + 1) / total, np.where(rare, 0.0, np.log10((np.maximum(exact, 0) + 1) / total))
+            gram, gram_back = np.unique(bigram_hashes(found.hashes), return_inverse=True)
+            c2 = middle[bloom.levels(gram)][gram_back]
+            p = np.log10((c2 + mu * unigram[back[1:]]) / (np.maximum(c[back[:-1]], c2) + mu))
+            starts = found.ends[:-1]  # in the arrays of all tokens but the first, a text's tokens begin here
+            is_rare = rare[back[1:]]
+            rare_counts = np.add.reduceat(is_rare.astype(np.int64), starts)
+            rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rare_counts))), pa.int32()), pa.array(found.words(np.flatnonzero(is_rare) + 1), pa.binary()))
+            sizes = np.diff(found.ends)
+            return [pa.array(sizes), pa.array(sizes - rare_counts), pa.array(np.add.reduceat(base[back[1:]], starts)), pa.array(np.add.reduceat(p, starts)), rest]
 
         for batch in batches:
-            id_type_arrow = batch.schema.field(0).type
-            ids, texts, n = [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(key)
-                texts.append(text.as_py())
-                n += len(texts[-1] or "")
-                if n > 1_000_000:
-                    yield scored(ids, texts)
-                    ids, texts, n = [], [], 0
-            if ids:
-                yield scored(ids, texts)
+            for at, texts in chunks(batch, 1):
+                serial = pa.array(uid + np.arange(len(texts)))
+                uid += len(texts)
+                yield pa.RecordBatch.from_arrays([serial, batch.column(0).slice(at, len(texts)), *scored(texts)], ["uid", "id", "n_tokens", "known", "base", "score", "rest"])
 
     schema = f"uid long, id {id_type.simpleString()}, n_tokens long, known long, base double, score double, rest array<binary>"
     made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
