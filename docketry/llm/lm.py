@@ -160,24 +160,36 @@ def estimates() -> np.ndarray:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word binary, c): over every text; tasks send one row a word and table-full."""
+    """(word binary, c): over every text; tasks send one row a word and four million tokens."""
 
     def run(batches):
-        def rows(counter):
-            return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], ["word", "c"])
+        held, n = [], 0
+
+        def rows():
+            """Words of the chunks held, each cut out of the text where it comes first."""
+            hashes, counts, sizes = np.concatenate([h for _, h, _, _ in held]), np.concatenate([c for _, _, c, _ in held]), [len(h) for _, h, _, _ in held]
+            _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+            total = np.bincount(back, weights=counts).astype(np.int64)
+            order = np.argsort(first)
+            stops = np.searchsorted(first[order], np.cumsum(sizes))
+            words, done, begun = [], 0, 0
+            for (found, _, _, at), size, stop in zip(held, sizes, stops):
+                words += found.words(at[first[order[done:stop]] - begun])
+                done, begun = stop, begun + size
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(total[order])], ["word", "c"])
 
-        counter: dict[bytes, int] = {}
         for batch in batches:
-            for _, held in chunks(batch, 0):
-                found = Tokens(held)
-                _, first, count = np.unique(found.hashes[1:], return_index=True, return_counts=True)
-                have = counter.get
-                for word, c in zip(found.words(first + 1), count.tolist()):
-                    counter[word] = have(word, 0) + c
-                if len(counter) > 400_000:
-                    yield rows(counter)
-                    counter = {}
-        yield rows(counter)
+            for _, texts_held in chunks(batch, 0):
+                found = Tokens(texts_held)
+                own, first, count = np.unique(found.hashes[1:], return_index=True, return_counts=True)
+                n += len(found.hashes)
+                found.starts, found.stops, found.hashes = found.starts[first + 1], found.stops[first + 1], None
+                held.append((found, own, count, np.arange(len(own))))
+                if n > 4_000_000:
+                    yield rows()
+                    held, n = [], 0
+        if held:
+            yield rows()
 
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -196,7 +208,7 @@ def count_bigrams(texts: DataFrame, partitions: int) -> DataFrame:
             for _, texts_held in chunks(batch, 0):
                 held.append(bigram_hashes(Tokens(texts_held).hashes))
                 n += len(held[-1])
-                if n > 2_000_000:
+                if n > 6_000_000:
                     yield rows()
                     held, n = [], 0
         if held:
