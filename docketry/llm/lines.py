@@ -100,7 +100,8 @@ def repeated_runs(docs: DataFrame, *, id_col="doc_id", text_col="text", min_word
 def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", min_words=50) -> DataFrame:
     """docs with the later repeated runs cut out of their texts; all rows and columns stay."""
     runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("runs").alias("_runs"))
-    joined = docs.join(runs, docs[id_col].eqNullSafe(runs._id) & (F.xxhash64(docs[text_col]) == runs._hash), "left")
+    # the same plan at every size, whichever side is small
+    joined = docs.join(runs.hint("merge"), docs[id_col].eqNullSafe(runs._id) & (F.xxhash64(docs[text_col]) == runs._hash), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.exists("_runs", lambda r: (r["first"] <= i) & (r["last"] >= i))), "\n")
     return joined.withColumn(text_col, F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
 

@@ -106,7 +106,7 @@ def mix_sources(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col
     plan = plan.where(F.size("draws") > 0).select(F.col("id").alias("_id"), "epochs", "part", "size", F.explode("draws").alias("d"))
     plan = plan.where((F.col("d.epoch") <= F.col("epochs")) | (F.col("part") > 0) | (F.col("size") == 0))
     plan = plan.select("_id", F.col("d.epoch").alias("_copy"), F.col("d.shard").alias("_shard"), F.when((F.col("d.epoch") > F.col("epochs")) & (F.col("part") < F.col("size")), F.col("part")).alias("_cut"))
-    mixed = docs.join(plan, docs[id_col].eqNullSafe(plan._id))
+    mixed = docs.join(plan.hint("merge"), docs[id_col].eqNullSafe(plan._id))  # the same plan at every size
     head = F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_cut").cast("string"), F.lit("}+)"))
     text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.call_function("regexp_extract", F.col(text_col), head, F.lit(0)))
     key = F.xxhash64(F.lit(seed + 4), F.col("_shard"), F.col(id_col), F.col("_copy"))

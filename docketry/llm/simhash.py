@@ -237,4 +237,4 @@ def simhash_components(docs: DataFrame, *, id_col="doc_id", text_col="text", rad
 def keep_one(docs: DataFrame, *, id_col="doc_id", **options) -> DataFrame:
     """docs with one document left of each component: the one whose id is least."""
     kept = simhash_components(docs, id_col=id_col, **options).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept._id), "left_semi")
+    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept._id), "left_semi")  # the same plan at every size

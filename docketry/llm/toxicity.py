@@ -85,6 +85,8 @@ def pieces(token: str) -> list[str]:
 
 def token_margins(tokens: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
     """Margins, held at the floor below it. The exact norm is computed only where it can lift a token above the floor."""
+    if len(tokens) > 20_000:  # in slices: a large vocabulary needs no more memory than a small one
+        return np.concatenate([token_margins(tokens[a : a + 20_000], weight, bias) for a in range(0, len(tokens), 20_000)])
     out = np.full(len(tokens), FLOOR)
     by_length: dict[int, list[tuple[int, str]]] = defaultdict(list)
     for at, token in enumerate(tokens):
@@ -92,7 +94,7 @@ def token_margins(tokens: list[str], weight: np.ndarray, bias: float) -> np.ndar
             if len(part) >= 3:
                 by_length[len(part)].append((at, part))
     for n, found in by_length.items():
-        step = max(64, 400_000 // max(1, len(triples(n)[0])))
+        step = max(64, 200_000 // max(1, len(triples(n)[0])))
         for s in range(0, len(found), step):
             at = np.array([x for x, _ in found[s : s + step]])
             codes, w = occurrences(np.stack([symbols(t) for _, t in found[s : s + step]]))
@@ -174,7 +176,7 @@ def kernel_matrix(a: list[dict], b: list[dict]) -> np.ndarray:
     return out
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, c: float = 20.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, c: float = 20.0, rounds: int = 12) -> tuple[np.ndarray, float]:
     """Newton steps on the primal; few columns, so each step is a small linear system."""
     z = np.hstack((x, np.ones((len(x), 1))))
     w = np.zeros(z.shape[1])
@@ -198,7 +200,7 @@ def fit_machine(positives: list[str], negatives: list[str], landmarks: list[str]
     x = kernel_matrix([sparse(t) for t in positives + negatives], marks) @ root
     y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
     cost = np.where(y > 0, len(y) / (2 * max(1, len(positives))), len(y) / (2 * max(1, len(negatives)))) / len(y) * 2000
-    w, bias = squared_hinge(x, y, cost * 5)
+    w, bias = squared_hinge(x, y, np.where(y > 0, cost, 3 * cost) * 5)
     weight = np.zeros(ALPHABET**3, dtype=np.float32)
     for mark, beta in zip(marks, root @ w):
         for code, v in mark.items():
@@ -274,8 +276,10 @@ def train(rows: list[tuple[str, int]], *, landmarks: int = 256, rounds: int = 3,
             marks = list(dict.fromkeys(seeds + rest[: landmarks // 2] + negatives[-landmarks // 4 :] + frequent[: landmarks // 4]))[:landmarks]
             weight, bias = fit_machine(shown, list(dict.fromkeys(negatives)), marks)
             margins = token_margins(others, weight, bias)
-            hard = [others[i] for i in np.argsort(-margins, kind="stable")[:1500] if margins[i] > -0.5]
-            negatives = negatives + hard
+            order = np.argsort(-margins, kind="stable")
+            near = order[margins[order] > -0.7]
+            hard = np.concatenate((near[:2000], rng.permutation(near[2000:])[:4000]))
+            negatives = negatives + [others[i] for i in hard]
         return weight, bias
 
     def doc_evidence(own, weight, bias):
@@ -302,7 +306,7 @@ def train(rows: list[tuple[str, int]], *, landmarks: int = 256, rounds: int = 3,
     return Machine(*found, w.tolist())
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", max_docs=6000) -> list[tuple[str, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", max_docs=4000) -> list[tuple[str, int]]:
     """At most max_docs labelled texts, chosen by hash of their id; only their labels are sorted, and only their texts move."""
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     own = own.orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
