@@ -36,10 +36,10 @@ def lines_of(column: Column) -> Column:
 def parse_date(column: Column) -> Column:
     """ISO, `17 Apr 2026` or `Apr 17, 2026` as ISO; NULL if none, or no such day, or outside 1900-2100."""
     text = F.trim(column)
-    month = lambda name: F.lpad((F.floor((F.locate(F.upper(name), F.lit("JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC")) - 1) / 3) + 1).cast("string"), 2, "0")
+    month = lambda name: F.lpad((F.floor((F.position(F.upper(name), F.lit("JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC")) - 1) / 3) + 1).cast("string"), 2, "0")
     iso, day_first, month_first = r"\b(\d{4})-(\d{2})-(\d{2})\b", r"\b(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\.?,?\s+(\d{4})\b", r"\b([A-Za-z]{3})[A-Za-z]*\.?\s+(\d{1,2}),?\s+(\d{4})\b"
     part = lambda p, k: F.regexp_extract(text, p, k)
-    named = lambda p, y, m, d: F.when(F.locate(F.upper(part(p, m)), F.lit("JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC")) > 0, F.concat_ws("-", part(p, y), month(part(p, m)), F.lpad(part(p, d), 2, "0")))
+    named = lambda p, y, m, d: F.when(F.position(F.upper(part(p, m)), F.lit("JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC")) > 0, F.concat_ws("-", part(p, y), month(part(p, m)), F.lpad(part(p, d), 2, "0")))
     written = F.when(text.rlike(iso), part(iso, 0)).when(text.rlike(day_first), named(day_first, 3, 2, 1)).when(text.rlike(month_first), named(month_first, 3, 1, 2))
     day = F.try_to_date(written, "yyyy-MM-dd")
     return F.when(F.year(day).between(1900, 2100), F.date_format(day, "yyyy-MM-dd"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import policy_queries, policy_sql
+from . import policy_queries, policy_sql, text_queries, text_sql
 
-_PARTS = ((policy_queries.QUERIES, policy_sql.ORACLES),)
+_PARTS = ((policy_queries.QUERIES, policy_sql.ORACLES), (text_queries.QUERIES, text_sql.ORACLES))
 
 
 def flagship(spark, sf_dir):

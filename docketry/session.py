@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "docketry", cpus: int | None = None, partitions: int = 8) -> SparkSession:
@@ -24,4 +28,39 @@ def local_session(name: str = "docketry", cpus: int | None = None, partitions: i
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One driver table; Catalyst prunes the columns at the scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once: they need not find it on a path of their own."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    home = Path(__file__).resolve().parent
+    where = Path(tempfile.mkdtemp(prefix="docketry-"))
+    with zipfile.ZipFile(where / "docketry_package.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    context.addPyFile(str(where / "docketry_package.zip"))  # Spark serves the file to the executors
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all machines share: spark.checkpoint.dir; a temporary one only where the session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = tempfile.mkdtemp(prefix="docketry-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors, nothing is computed twice."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/docketry/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
