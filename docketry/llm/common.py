@@ -2,35 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize, shared_dir, table  # noqa: F401
+
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="docketry-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors, nothing is computed twice."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/docketry/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Texts are read in chunks of about so many characters, their tokens in arrays.
+CHUNK = 600_000
+
+
+def chunks(batch, column: int):
+    """Slices of an Arrow batch with about CHUNK characters, one text at least: (from, texts)."""
+    at, held, n = 0, [], 0
+    for i, text in enumerate(batch.column(column)):
+        held.append(text.as_py())
+        n += len(held[-1] or "")
+        if n > CHUNK:
+            yield at, held
+            at, held, n = i + 1, [], 0
+    if held:
+        yield at, held
 
 
 def held(id_col: str, modulus: int) -> Column:

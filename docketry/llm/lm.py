@@ -23,12 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import CHUNK, chunks, materialize
 
 SEGMENTS = 4096
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Texts are read in chunks of about so many bytes, tokens in arrays.
-CHUNK = 600_000
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
@@ -91,19 +89,6 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def chunks(batch: pa.RecordBatch, column: int):
-    """Slices of a batch with about CHUNK characters, one text at least: (from, texts)."""
-    at, held, n = 0, [], 0
-    for i, text in enumerate(batch.column(column)):
-        held.append(text.as_py())
-        n += len(held[-1] or "")
-        if n > CHUNK:
-            yield at, held
-            at, held, n = i + 1, [], 0
-    if held:
-        yield at, held
-
-
 def bigram_hashes(ids: np.ndarray) -> np.ndarray:
     """Of each token after the first with the one before it."""
     return mixed(ids[:-1] * MIX1 + (ids[1:] ^ MIX2))

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks
+
 ALPHABET, GAP, SPAN, DECAY, LONGEST = 64, 63, 8, 0.6, 48
 FLOOR = -1.0
 
@@ -141,7 +143,7 @@ class Machine:
         """Probabilities of texts; known keeps the margins of tokens met before, while it is small."""
         words = [tokens_of(t) for t in texts]
         fresh = list({w for own in words for w in own if w not in known})
-        if len(known) + len(fresh) > 400_000:
+        if len(known) + len(fresh) > 150_000:
             known.clear()
             fresh = list({w for own in words for w in own})
         known.update(zip(fresh, token_margins(fresh, self.weight, self.bias).tolist()))
@@ -321,7 +323,7 @@ def score(docs: DataFrame, machine: Machine, *, id_col="doc_id", text_col="text"
     def run(batches):
         known: dict[str, float] = {}
         for batch in batches:
-            found = [machine.scored([t.as_py() for t in batch.column(1).slice(at, 200)], known) for at in range(0, len(batch), 200)]
+            found = [machine.scored(texts, known) for _, texts in chunks(batch, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*found, []]), pa.float64())], ["id", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, score double")
@@ -336,8 +338,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col=
         known: dict[str, float] = {}
         at = schema.fieldNames().index(text_col)
         for batch in batches:
-            for s in range(0, len(batch), 200):
-                part = batch.slice(s, 200)
-                yield part.filter(pa.array(machine.scored([t.as_py() for t in part.column(at)], known) < threshold))
+            for first, texts in chunks(batch, at):
+                yield batch.slice(first, len(texts)).filter(pa.array(machine.scored(texts, known) < threshold))
 
     return docs.mapInArrow(run, schema)
