@@ -29,7 +29,7 @@ def clamp(df: DataFrame) -> DataFrame:
     clean = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
     plain = {c: F.when(clean(c) == "", fixed.UNKNOWN).otherwise(clean(c)) for c in ("applicant_name", "species_code", "home_world", "visa_class", "declared_purpose")}
     fits = lambda c, pattern: F.when(clean(c).rlike(pattern), clean(c)).otherwise(fixed.BLANKS[c])
-    flags = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(clean("risk_flags"), r"\|"), F.trim), lambda f: f.isin(*fixed.FLAGS))))
+    flags = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(clean("risk_flags"), r"\|"), lambda f: F.trim(f)), lambda f: f.isin(*fixed.FLAGS))))
     verdict = F.upper(clean("adjudication"))
     number = F.col("confidence").try_cast("double")
     confidence = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.when(~F.isnan(number), number), F.lit(0.5)))), 4)
