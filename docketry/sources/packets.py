@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 PAGES = "case_id string, page_no int, visible_native string, hidden string, ocr_text string, rapid_text string, ocr_confidence double, is_scanned boolean, error string"
 
 
@@ -19,19 +21,21 @@ def scan_packets(spark: SparkSession, path: str) -> DataFrame:
 
 def decode(files: DataFrame, decoder: Callable[[str, bytes], Iterable[dict]]) -> DataFrame:
     """Pages of every packet. decoder(case_id, content) yields dicts with the columns of PAGES; an exception becomes one row with an error."""
-    names = [part.split(" ")[0] for part in PAGES.split(", ")]
+    ship(files.sparkSession)
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [tuple(part.split(" ")) for part in PAGES.split(", ")]
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for case_id, content in zip(pdf["case_id"], pdf["content"]):
+            for case_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     rows += [{"case_id": case_id, **page} for page in decoder(case_id, content)]
                 except Exception as e:  # noqa: BLE001 - isolation of a packet is the contract
                     rows.append({"case_id": case_id, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in fields], [n for n, _ in fields])
 
-    return files.select("case_id", "content").mapInPandas(run, PAGES)
+    return files.select("case_id", "content").mapInArrow(run, PAGES)
 
 
 def pymupdf_decoder(case_id: str, content: bytes):
