@@ -99,18 +99,18 @@ def repeated_runs(docs: DataFrame, *, id_col="doc_id", text_col="text", min_word
 
 def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", min_words=50) -> DataFrame:
     """docs with the later repeated runs cut out of their texts; all rows and columns stay."""
-    runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("runs").alias("_runs"))
+    runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words).select(F.col("id").alias("__dk_id"), F.col("text_hash").alias("__dk_hash"), F.col("runs").alias("__dk_runs"))
     # the same plan at every size, whichever side is small
-    joined = docs.join(runs.hint("merge"), docs[id_col].eqNullSafe(runs._id) & (F.xxhash64(docs[text_col]) == runs._hash), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.exists("_runs", lambda r: (r["first"] <= i) & (r["last"] >= i))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    joined = docs.join(runs.hint("merge"), docs[id_col].eqNullSafe(runs.__dk_id) & (F.xxhash64(docs[text_col]) == runs.__dk_hash), "left")
+    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.exists("__dk_runs", lambda r: (r["first"] <= i) & (r["last"] >= i))), "\n")
+    return joined.withColumn(text_col, F.when(F.col("__dk_runs").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
 
 
 def line_report(docs: DataFrame, *, id_col="doc_id", text_col="text", min_words=50) -> DataFrame:
     """(id, n_lines, n_removed, removed): what dedup_lines takes out of each document, as 'first-last' runs joined by commas, lines counted from 0."""
-    runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "runs")
+    runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words).select(F.col("id").alias("__dk_id"), F.col("text_hash").alias("__dk_hash"), "runs")
     sized = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), (F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1).alias("n_lines"))
-    joined = sized.join(runs, sized.id.eqNullSafe(runs._id) & (sized.h == runs._hash), "left")
+    joined = sized.join(runs, sized.id.eqNullSafe(runs.__dk_id) & (sized.h == runs.__dk_hash), "left")
     count = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
     spans = F.array_join(F.transform("runs", lambda r: F.concat(r["first"].cast("string"), F.lit("-"), r["last"].cast("string"))), ",")
     return joined.select("id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(count, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(spans, F.lit("")).alias("removed"))

@@ -34,9 +34,12 @@ def source_targets(sizes: DataFrame, *, weights=(1, 2, 3), max_epochs: int = 3)
     whole = Window.partitionBy()
     ahead, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     level = (F.sum(F.col("source_size").cast("double")).over(whole) - F.coalesce(F.sum("limit").over(ahead), F.lit(0.0))) / F.sum("w").over(rest)
-    leveled = ranked.withColumn("level", level).withColumn("stopped", F.col("level") * F.col("w") > F.col("limit"))
-    settled = F.min(F.when(~F.col("stopped"), F.struct(F.col("limit") / F.col("w"), "level"))).over(whole)["level"]
-    target = F.when(F.col("stopped"), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("w") * F.coalesce(settled, F.lit(0.0))))
+    leveled = ranked.withColumns({"level": level, "place": F.row_number().over(order)})
+    # up to the first source that is not stopped, all before it are; its level holds for all after it
+    first = F.min(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.struct("place", "level"))).over(whole)
+    leveled = leveled.withColumn("first", first)
+    stopped = F.col("first").isNull() | (F.col("place") < F.col("first.place"))
+    target = F.when(stopped, F.col("limit")).otherwise(F.least(F.col("limit"), F.col("w") * F.col("first.level")))
     return leveled.withColumn("target", target).select("source", "source_size", "target")
 
 
@@ -75,9 +78,9 @@ def draw_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="
     last = F.when(F.col("quota") > 0, 1).otherwise(0)
     draws = blocks.where(F.col("epochs") + last > 0).select("source", "block", F.explode(F.sequence(F.lit(1), F.col("epochs") + last)).alias("epoch"))
     leaves = splitting_tree(draws, shards=shards, seed=seed + 2).groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard"))).alias("draws"))
-    blocks = materialize(
-        blocks.join(leaves, blocks.source.eqNullSafe(leaves.source) & (blocks.block == leaves.block), "left").drop(leaves.source).drop(leaves.block), "leaves"
-    )
+    leaves = leaves.withColumnsRenamed({"source": "leaf_source", "block": "leaf_block"})
+    drawn = F.col("source").eqNullSafe(F.col("leaf_source")) & (F.col("block") == F.col("leaf_block"))
+    blocks = materialize(blocks.join(leaves, drawn, "left").drop("leaf_source", "leaf_block"), "leaves")
 
     at = placed.source.eqNullSafe(blocks.source) & (placed.block == blocks.block)
     joined = placed.join(blocks, at).drop(blocks.source).drop(blocks.block)
@@ -103,11 +106,11 @@ def mix_sources(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col
     seed = options.get("seed", 20_11)
     plan = draw_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     plan = plan.groupBy("id").agg(F.max_by("draws", "size").alias("draws"), F.max("epochs").alias("epochs"), F.max("part").alias("part"), F.max("size").alias("size"))
-    plan = plan.where(F.size("draws") > 0).select(F.col("id").alias("_id"), "epochs", "part", "size", F.explode("draws").alias("d"))
+    plan = plan.where(F.size("draws") > 0).select(F.col("id").alias("__dk_id"), "epochs", "part", "size", F.explode("draws").alias("d"))
     plan = plan.where((F.col("d.epoch") <= F.col("epochs")) | (F.col("part") > 0) | (F.col("size") == 0))
-    plan = plan.select("_id", F.col("d.epoch").alias("_copy"), F.col("d.shard").alias("_shard"), F.when((F.col("d.epoch") > F.col("epochs")) & (F.col("part") < F.col("size")), F.col("part")).alias("_cut"))
-    mixed = docs.join(plan.hint("merge"), docs[id_col].eqNullSafe(plan._id))  # the same plan at every size
-    head = F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_cut").cast("string"), F.lit("}+)"))
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.call_function("regexp_extract", F.col(text_col), head, F.lit(0)))
-    key = F.xxhash64(F.lit(seed + 4), F.col("_shard"), F.col(id_col), F.col("_copy"))
-    return mixed.withColumn(text_col, text).select(*docs.columns, F.col("_shard").alias("shard"), F.col("_copy").alias("copy"), key.alias("shard_key"))
+    plan = plan.select("__dk_id", F.col("d.epoch").alias("__dk_copy"), F.col("d.shard").alias("__dk_shard"), F.when((F.col("d.epoch") > F.col("epochs")) & (F.col("part") < F.col("size")), F.col("part")).alias("__dk_cut"))
+    mixed = docs.join(plan.hint("merge"), docs[id_col].eqNullSafe(plan.__dk_id))  # the same plan at every size
+    head = F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("__dk_cut").cast("string"), F.lit("}+)"))
+    text = F.when(F.col("__dk_cut").isNull(), F.col(text_col)).otherwise(F.call_function("regexp_extract", F.col(text_col), head, F.lit(0)))
+    key = F.xxhash64(F.lit(seed + 4), F.col("__dk_shard"), F.col(id_col), F.col("__dk_copy"))
+    return mixed.withColumn(text_col, text).select(*docs.columns, F.col("__dk_shard").alias("shard"), F.col("__dk_copy").alias("copy"), key.alias("shard_key"))

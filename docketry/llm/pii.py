@@ -233,9 +233,9 @@ def written(found: Column) -> Column:
 
 def redact(docs: DataFrame, *, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """docs with every span replaced by its kind in brackets; the ids must tell documents apart."""
-    found = redact_spans(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("_id"), F.concat("base", "added").alias("_spans"))
-    joined = docs.join(found, docs[id_col].eqNullSafe(found._id))
-    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found = redact_spans(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__dk_id"), F.concat("base", "added").alias("__dk_spans"))
+    joined = docs.join(found, docs[id_col].eqNullSafe(found.__dk_id))
+    order = F.array_sort(F.transform("__dk_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     text = F.col(text_col)
 
@@ -245,4 +245,4 @@ def redact(docs: DataFrame, *, id_col="doc_id", text_col="text", **options) -> D
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), put.alias("out"))
 
     done = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.size("_spans") > 0, done).otherwise(text)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.size("__dk_spans") > 0, done).otherwise(text)).select(*docs.columns)

@@ -132,7 +132,7 @@ def allocate(both: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int
             for t in range(radius + 1):
                 rows += ways
                 ways *= (len(part) - t) / (t + 1)
-                own.append(ROW_COST * n * rows + CANDIDATE_COST * n * n / 2 * float(near[t]))
+                own.append(ROW_COST * max(n, 1) * rows + CANDIDATE_COST * n * n / 2 * float(near[t]))
             costs.append(own)
         least = {0: (0.0, [])}  # thresholds plus one given out so far -> cost, thresholds
         for own in costs:
@@ -236,5 +236,5 @@ def simhash_components(docs: DataFrame, *, id_col="doc_id", text_col="text", rad
 
 def keep_one(docs: DataFrame, *, id_col="doc_id", **options) -> DataFrame:
     """docs with one document left of each component: the one whose id is least."""
-    kept = simhash_components(docs, id_col=id_col, **options).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept._id), "left_semi")  # the same plan at every size
+    kept = simhash_components(docs, id_col=id_col, **options).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__dk_id")).distinct()
+    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept.__dk_id), "left_semi")  # the same plan at every size

@@ -310,10 +310,10 @@ def train(rows: list[tuple[str, int]], *, landmarks: int = 256, rounds: int = 3,
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", max_docs=4000) -> list[tuple[str, int]]:
     """At most max_docs labelled texts, chosen by hash of their id; only their labels are sorted, and only their texts move."""
-    own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    own = own.orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    found = docs.join(F.broadcast(own), docs[id_col] == own._id).select("_id", F.col(text_col).alias("text"), "_label").where("text is not null")
-    return [(r["text"], int(r["_label"])) for r in sorted(found.collect(), key=lambda r: (r["_id"], r["text"]))]
+    own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__dk_id")).agg(F.max(label_col).alias("__dk_label"))
+    own = own.orderBy(F.xxhash64("__dk_id"), "__dk_id").limit(max_docs)
+    found = docs.join(F.broadcast(own), docs[id_col] == own.__dk_id).select("__dk_id", F.col(text_col).alias("text"), "__dk_label").where("text is not null")
+    return [(r["text"], int(r["__dk_label"])) for r in sorted(found.collect(), key=lambda r: (r["__dk_id"], r["text"]))]
 
 
 def score(docs: DataFrame, machine: Machine, *, id_col="doc_id", text_col="text") -> DataFrame:
