@@ -301,11 +301,21 @@ def train(rows: list[tuple[str, int]], *, landmarks: int = 256, rounds: int = 3,
             labels += [y for _, y in b]
     if not seen:
         seen, labels = doc_evidence(docs, *found), [y for _, y in docs]
-    z, y, w = np.hstack((np.array(seen), np.ones((len(seen), 1)))), np.array(labels, dtype=float), np.zeros(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w = w + np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-2 * np.eye(3), z.T @ (y - p) - 1e-2 * w)
-    return Machine(*found, w.tolist())
+    return Machine(*found, logistic(np.array(seen), np.array(labels, dtype=float)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Weights and shift of a logistic curve that no feature pulls down: one that would is left out."""
+    used = [0, 1]
+    while True:
+        z, w = np.hstack((x[:, used], np.ones((len(x), 1)))), np.zeros(len(used) + 1)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            w = w + np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w)), z.T @ (y - p) - 1e-2 * w)
+        down = [k for k, v in zip(used, w) if v < 0]
+        if not down:
+            return [*(float(w[used.index(k)]) if k in used else 0.0 for k in (0, 1)), float(w[-1])]
+        used = [k for k in used if k not in down]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", max_docs=4000) -> list[tuple[str, int]]:
