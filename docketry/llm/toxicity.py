@@ -289,7 +289,8 @@ def train(rows: list[tuple[str, int]], *, landmarks: int = 256, rounds: int = 3,
         margin = dict(zip(all_tokens, token_margins(all_tokens, weight, bias)))
         return [evidence([margin[t] for t in tokens]) for tokens, _ in own]
 
-    halves = [d for i, d in enumerate(docs) if i % 2], [d for i, d in enumerate(docs) if not i % 2]
+    odd = [zlib.crc32(text.encode("utf-8", "surrogatepass")) % 2 for text, _ in rows]  # equal texts stay in one half
+    halves = [d for d, o in zip(docs, odd) if o], [d for d, o in zip(docs, odd) if not o]
     found = machine(docs)
     if found is None:
         return flat
@@ -306,15 +307,20 @@ def train(rows: list[tuple[str, int]], *, landmarks: int = 256, rounds: int = 3,
 
 def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     """Weights and shift of a logistic curve that no feature pulls down: one that would is left out."""
+    middle, wide = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     used = [0, 1]
     while True:
-        z, w = np.hstack((x[:, used], np.ones((len(x), 1)))), np.zeros(len(used) + 1)
-        for _ in range(50):
+        z, w = np.hstack((((x - middle) / wide)[:, used], np.ones((len(x), 1)))), np.zeros(len(used) + 1)
+        for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            w = w + np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w)), z.T @ (y - p) - 1e-2 * w)
+            step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w)), z.T @ (y - p) - 1e-2 * w)
+            w = w + step / max(1.0, float(np.abs(step).max()))  # never far at once
+            if np.abs(step).max() < 1e-6:
+                break
         down = [k for k, v in zip(used, w) if v < 0]
         if not down:
-            return [*(float(w[used.index(k)]) if k in used else 0.0 for k in (0, 1)), float(w[-1])]
+            slope = [float(w[used.index(k)] / wide[k]) if k in used else 0.0 for k in (0, 1)]
+            return [*slope, float(w[-1] - slope[0] * middle[0] - slope[1] * middle[1])]
         used = [k for k in used if k not in down]
 
 
