@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import materialize
 from .policy import decide
 
 
@@ -37,7 +38,8 @@ def with_provisional(fitted: DataFrame, provisional: DataFrame) -> DataFrame:
 def folds(df: DataFrame, k: int = 5, *, key: str = "case_id") -> DataFrame:
     """+ fold: position in the order of the key, modulo k. Positions come from counts by key range, so no task sorts all rows."""
     width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = df.repartitionByRange(width, key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
+    # written, so that both uses below see the same ranges
+    parts = materialize(df.repartitionByRange(width, key).withColumn("_p", F.spark_partition_id()), "folds")
     bounds = parts.groupBy("_p").agg(F.count("*").alias("n"))
     base = bounds.select("_p", (F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
     at = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1 + F.col("base")
