@@ -103,7 +103,7 @@ ORACLES = {
     "recognizer_lines": "SELECT l_orderkey AS case_id, string_agg(l_returnflag, chr(10) ORDER BY l_linenumber) AS rapid_text FROM " + ITEMS + " WHERE l_discount * 10 > 0.4 GROUP BY 1",
     "marks": f"WITH {MARKS} SELECT case_id, mark_no, ink, verdict, is_strike FROM m",
     "struck_stamps": f"WITH {MARKS}, {LIVE} SELECT case_id, mark_no FROM live",
-    "stamp_verdict": f"WITH {MARKS}, {LIVE}, g AS (SELECT case_id, CASE WHEN min(verdict) = max(verdict) THEN min(verdict) END AS v FROM live GROUP BY 1) SELECT c.case_id, v AS stamp_verdict, CASE WHEN v = 'DENIED' THEN 0.85 WHEN v IS NOT NULL THEN 0.97 END AS stamp_weight, v IS NULL AS stamp_contested FROM (SELECT DISTINCT case_id FROM m WHERE NOT is_strike) c LEFT JOIN g USING (case_id)",
+    "stamp_verdict": f"WITH {MARKS}, {LIVE}, g AS (SELECT case_id, CASE WHEN min(verdict) = max(verdict) THEN min(verdict) END AS v FROM live GROUP BY 1) SELECT c.case_id, v AS stamp_verdict, CASE WHEN v = 'DENIED' THEN 0.85::DOUBLE WHEN v IS NOT NULL THEN 0.97::DOUBLE END AS stamp_weight, v IS NULL AS stamp_contested FROM (SELECT DISTINCT case_id FROM m WHERE NOT is_strike) c LEFT JOIN g USING (case_id)",
     "find_label": "SELECT CAST(o_orderkey AS VARCHAR) AS case_id, f AS field, (10 + o_orderkey % 7)::DOUBLE AS x0, (x + o_orderkey % 7)::DOUBLE AS x1 FROM orders, (VALUES ('fee_status', 65), ('home_world', 70)) t(f, x)",
     "cell_value": "SELECT CAST(o_orderkey AS VARCHAR) AS case_id, f AS field, v AS value FROM orders, (VALUES ('fee_status', 'paid now'), ('home_world', 'Luyten-b')) t(f, v)",
 }
