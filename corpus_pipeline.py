@@ -2,7 +2,7 @@
 
 toxicity      documents whose toxicity score reaches 0.5 go
 line_dedup    runs of lines, 50 words or more, that occur earlier are cut; a document left without a word goes
-near_dedup    one document of each SimHash component stays
+near_dedup    one document stays of those linked by a Jaccard similarity of 0.8 or more over five-word shingles
 mixing        sources are drawn to their target weights: documents come up to three times, or not at all
 packing       what is left is tokenised and packed into sequences of 2048 tokens
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.llm import lines, mixing, packing, simhash, toxicity
+from docketry.llm import lines, mixing, packing, similar, toxicity
 from docketry.llm.common import WORD, materialize, table
 from docketry.llm.queries import tokenizer_files
 
@@ -27,7 +27,7 @@ def line_dedup_stage(spark, docs, sf_dir):
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def mixing_stage(spark, docs, sf_dir):

@@ -1,0 +1,128 @@
+"""Near-duplicates by Jaccard similarity: MinHash bands propose, the sets of word shingles decide.
+
+A text is the set of its `shingle`-word runs, lower-cased; a shorter text is one run. Two texts link if the
+Jaccard similarity of their sets is `similarity` or more, computed on the sets themselves. Candidates share one
+of BANDS keys of ROWS minima: at similarity 0.8 a pair is proposed with odds 0.9993, at 0.9 with 1 - 1e-8. Keys with
+the same members count once. Under each key all members are checked against the least and the greatest one;
+only members still outside the least one's component are then checked against all others of another component,
+so every proposed pair is decided and a group of near copies is never listed pair by pair.
+
+Equal texts are one node from the start. No words, empty or null text: the empty set, linked to each other.
+A null id is kept and is never a component's least id unless it has no other. Rows that repeat are one document.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import connected_components, materialize
+
+BANDS, ROWS = 24, 6
+_RANDOM = np.random.default_rng(20_11)
+FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+BAND_FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The set of a text's shingles, as sorted hashes."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    stops = ends[min(shingle, len(words)) - 1 :] - 1
+    view = memoryview(joined)
+    raw = b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), stops.tolist())])
+    return np.unique(np.frombuffer(raw, dtype=np.uint64))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(own), 512):  # in slices: a long text needs no more memory than a short one
+        np.minimum(least, (own[at : at + 512, None] * FACTORS).min(axis=0), out=least)
+    least ^= least >> np.uint64(29)  # products are linear in the factors; keys aren't
+    return (least.reshape(BANDS, ROWS) * BAND_FACTORS).sum(axis=1, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def bands(nodes: DataFrame, shingle: int) -> DataFrame:
+    """nodes (node, text) -> (key, node)."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [band_keys(shingles(t.as_py(), shingle)) for t in batch.column(1)]
+            if keys:
+                take = pa.array(np.repeat(np.arange(len(keys)), BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(take)], ["key", "node"])
+
+    return nodes.mapInArrow(run, "key long, node long")
+
+
+def linked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """pairs (a, b) of nodes -> those whose sets are as similar as asked."""
+
+    def run(batches):
+        last, held = None, None  # pairs of one node often follow one another
+        for batch in batches:
+            ok = np.zeros(len(batch), dtype=bool)
+            for i, (one, other) in enumerate(zip(batch.column(2), batch.column(3))):
+                one = one.as_py()
+                if held is None or one != last:
+                    last, held = one, shingles(one, shingle)
+                ok[i] = jaccard(held, shingles(other.as_py(), shingle)) >= similarity
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
+
+    left, right = texts.withColumnsRenamed({"node": "a", "text": "ta"}), texts.withColumnsRenamed({"node": "b", "text": "tb"})
+    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
+    return materialize(joined.mapInArrow(run, "a long, b long"), "links")
+
+
+def similar_components(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=5, similarity=0.8) -> DataFrame:
+    """(id, component_id): component_id is the least id linked, directly or not."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    nodes = materialize(own.groupBy("node").agg(F.min("id").alias("least")), "nodes")
+    found = materialize(bands(own.select("node", "text"), shingle).distinct(), "bands")
+    groups = found.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("n > 1")
+    groups = groups.groupBy("n", "low", "high", "who").agg(F.min("key").alias("key")).select("key", "low", "high")
+    members = materialize(found.join(groups.hint("merge"), "key"), "members")
+    # written before the copies go, so that a frequent text's rows are split over tasks
+    texts = materialize(own.select("node", "text").join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "copies")
+    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+    ends = members.select("node", F.explode(F.array("low", "high")).alias("end")).where("node != end")
+    first = materialize(ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "pairs")
+    links = linked(first, texts, shingle, similarity)
+    roots = connected_components(links)
+
+    named = members.join(roots.hint("merge"), "node", "left").select("key", "node", "low", "high", F.coalesce("root", "node").alias("root"))
+    main = roots.withColumnsRenamed({"node": "low", "root": "low_root"})
+    named = named.join(main.hint("merge"), "low", "left").withColumn("outside", F.col("root") != F.coalesce("low_root", "low"))
+    named = materialize(named.where("node != low and node != high").select("key", "node", "root", "outside"), "named")
+    outside = named.where("outside").select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
+    rest = outside.join(named.hint("merge"), "key").where("root != other_root")
+    rest = materialize(rest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    more = linked(rest, texts, shingle, similarity)
+    roots = connected_components(links.unionByName(more))
+
+    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = named.join(least, "root").select("node", "component_id")
+    return own.select("id", "node").join(classes, "node").select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col="doc_id", **options) -> DataFrame:
+    """docs with one document left of each component: the one whose id is least."""
+    kept = similar_components(docs, id_col=id_col, **options).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__dk_id")).distinct()
+    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept.__dk_id), "left_semi")  # the same plan at every size

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.llm import licenses, lines, lm, mixing, neighbours, packing, pii, queries, simhash, topk, toxicity
+from docketry.llm import licenses, lines, lm, mixing, neighbours, packing, pii, queries, similar, simhash, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -390,6 +390,49 @@ def test_pii_redacts(spark):
     assert {r["doc_id"]: r["text"] for r in out} == {1: "write [email] or [phone] now", 2: "nothing", 3: None}
 
 
+# --- similar texts
+
+
+def plain_jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] or sets[1] else 1.0
+
+
+def test_similar_is_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for base in range(40):  # edited copies at similarities around 0.8 to 0.95, short and long
+        words = [f"t{base}w{i}" for i in range(int(rng.integers(30, 400)))]
+        texts.append(" ".join(words))
+        for share in (0.004, 0.01, 0.018, 0.03):
+            copy = list(words)
+            for i in rng.integers(0, len(words), max(1, int(share * len(words)))):
+                copy[i] = f"edit{rng.integers(1 << 30)}"
+            texts.append(" ".join(copy))
+    texts += [None, "", "one two", "One  TWO", "one two three"]
+    pairs = [(i, j, plain_jaccard(texts[i], texts[j])) for i in range(len(texts)) for j in range(i)]
+    assert sum(0.8 <= s < 0.95 for *_, s in pairs) > 40 and sum(0.6 < s < 0.8 for *_, s in pairs) > 10
+    want = components(len(texts), [(i, j) for i, j, s in pairs if s >= 0.8])
+    rows = list(enumerate(texts))
+    got = {r["id"]: r["component_id"] for r in similar.similar_components(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    kept = {r["doc_id"] for r in similar.keep_one(docs(spark, rows)).collect()}
+    assert kept == set(want)
+    import corpus_pipeline as c
+
+    assert {r["doc_id"] for r in c.near_dedup_stage(spark, docs(spark, rows), SF).collect()} == kept
+
+
+def test_similar_awkward(spark):
+    got = similar.similar_components(docs(spark, AWKWARD)).collect()
+    assert len(got) == len(AWKWARD) and {r["component_id"] for r in got if r["id"] in (1, 2, 5)} == {1}
+    assert similar.keep_one(docs(spark, AWKWARD[:3])).count() == 2
+    assert similar.similar_components(docs(spark, AWKWARD).limit(0)).count() == 0
+
+
 # --- pipeline
 
 
