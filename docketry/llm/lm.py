@@ -4,8 +4,10 @@ Counts c are quantised to q = 1 + floor(log2 c), and an n-gram is inserted q tim
 (n-gram, q). A count is read back by probing (n-gram, 1), (n-gram, 2), ... until one is missing: errors are
 one-sided and fall off geometrically. The filter holds unigrams and bigrams of every training text. It is
 blocked: all probes of an n-gram lie in one segment, so each task builds whole segments and the filter is the
-segments in order. Its size follows the number of insertions up to `max_filter_mb`, the bound that makes it
-fit to broadcast; beyond that only the rate of false positives rises, which `false_positive_rate` reports.
+segments in order. Its size follows the number of tokens at every size of the corpus, so the rate of false
+positives stays. Up to `max_filter_mb` it is broadcast. Beyond, the segments stay a table: the texts are written in
+chunks, each chunk's n-grams go to their segments, packed, are probed there and come back as levels, a byte each; the
+scores are the same.
 
 The model: P(w|v) = (c(v w) + mu P(w)) / (c(v) + mu), P(w) = (c(w) + 1) / (N + V + 1), counts from the filter
 but for the most frequent words, whose exact counts travel in a table of at most `head_words` entries. The
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import CHUNK, chunks, materialize
 
 SEGMENTS = 4096
+#: Bits of a filter that isn't broadcast which one task holds at once, and bytes of an n-gram on its way to them.
+PART_BITS, PACKED = 4 << 23, 6
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -97,15 +101,15 @@ def bigram_hashes(ids: np.ndarray) -> np.ndarray:
 class Filter:
     """The segments' bits, and probes of many n-grams at once."""
 
-    def __init__(self, bits: np.ndarray, segment_bits: int, hashes: int):
-        self.bits, self.segment_bits, self.hashes = bits, segment_bits, hashes
+    def __init__(self, bits: np.ndarray, segment_bits: int, hashes: int, first: int = 0):
+        self.bits, self.segment_bits, self.hashes, self.first = bits, segment_bits, hashes, first
 
     def levels(self, grams: np.ndarray, most: int = 64) -> np.ndarray:
-        """Quantised counts: the last level of which all hashes are set; zero where (n-gram, 1) is missing."""
+        """Quantised counts: the last level of which all hashes are set; zero where (n-gram, 1) is missing. The bits begin with segment `first`."""
         found, alive = np.zeros(len(grams), dtype=np.int16), np.arange(len(grams))
         for level in range(1, most + 1):
             h = level_hash(grams[alive], level)
-            segment = segment_of(grams[alive]) * np.uint64(self.segment_bits)
+            segment = (segment_of(grams[alive]) - np.uint64(self.first)) * np.uint64(self.segment_bits)
             for k in range(self.hashes):
                 at = segment + place(h, k, self.segment_bits)
                 hit = ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
@@ -125,7 +129,18 @@ def segment_of(grams: np.ndarray) -> np.ndarray:
 
 
 def level_hash(grams: np.ndarray, level) -> np.ndarray:
-    return mixed(grams + MIX1 * np.asarray(level, dtype=np.uint64))
+    return mixed((grams & ~np.uint64(0xFFFF)) + MIX1 * np.asarray(level, dtype=np.uint64))
+
+
+def packed(grams: np.ndarray) -> bytes:
+    """The upper 48 bits, all that the filter looks at."""
+    return grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // PACKED, 8), dtype=np.uint8)
+    out[:, :PACKED] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, PACKED)
+    return out.reshape(-1).view(">u8").astype(np.uint64)
 
 
 def place(h: np.ndarray, k: int, segment_bits: int) -> np.ndarray:
@@ -139,7 +154,7 @@ def quantised(counts: np.ndarray) -> np.ndarray:
 
 def estimates() -> np.ndarray:
     """The middle of the counts of each level."""
-    low = 2.0 ** np.arange(-1, 63)
+    low = 2.0 ** np.arange(-1, 64)
     low[0] = 0
     return np.concatenate(([0.0], (low[1:] * 3 - 1) / 2))
 
@@ -204,10 +219,48 @@ def count_bigrams(texts: DataFrame, partitions: int) -> DataFrame:
     return dealt.groupBy("segment", "gram").agg(F.sum("c").alias("c"))
 
 
-def build_filter(vocabulary: DataFrame, texts: DataFrame, *, tokens: int, max_filter_mb: int, bits_per_token: int = 6, hashes: int = 4) -> Filter:
+class SegmentTable:
+    """A filter too large to broadcast: its segments as a table (segment, bits), probed where they lie, `width` segments at a time."""
+
+    def __init__(self, table: DataFrame, segment_bits: int, hashes: int):
+        self.table, self.segment_bits, self.hashes = table, segment_bits, hashes
+        self.width = min(SEGMENTS, max(1, PART_BITS // segment_bits))
+
+    def levels(self, asked: DataFrame) -> DataFrame:
+        """asked (chunk, part, grams packed) -> (chunk, part, levels), a byte an n-gram."""
+        segment_bits, hashes, width = self.segment_bits, self.hashes, self.width
+
+        def run(batches):
+            bloom, held = None, -1
+            for batch in batches:
+                parts, segments = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                cuts = np.flatnonzero(np.diff(parts, prepend=-1, append=-1))
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    if parts[a] != held:
+                        held, bloom = parts[a], Filter(np.zeros(width * segment_bits // 8, dtype=np.uint8), segment_bits, hashes, int(parts[a]) * width)
+                    data, at = batch.column(3), a
+                    while at < b and segments[at] >= 0:  # a part's bits come first
+                        to = (int(segments[at]) - bloom.first) * segment_bits // 8
+                        bloom.bits[to : to + segment_bits // 8] |= np.frombuffer(data[at].as_py(), dtype=np.uint8)
+                        at += 1
+                    if at < b:
+                        own = [data[i].as_py() for i in range(at, b)]
+                        found = bloom.levels(unpacked(b"".join(own))).astype(np.uint8).tobytes()
+                        ends = np.cumsum([len(x) // PACKED for x in own]).tolist()
+                        told = [found[x:y] for x, y in zip([0, *ends], ends)]
+                        yield pa.RecordBatch.from_arrays([batch.column(2).slice(at, b - at), batch.column(0).slice(at, b - at), pa.array(told, pa.binary())], ["chunk", "part", "levels"])
+
+        rows = asked.select("part", F.lit(-1).alias("segment"), "chunk", F.col("grams").alias("data"))
+        own = self.table.select(F.floor(F.col("segment") / width).cast("int").alias("part"), "segment", F.lit(0).cast("long").alias("chunk"), F.col("bits").alias("data"))
+        n = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-SEGMENTS // width))
+        dealt = rows.unionByName(own).repartition(n, "part").sortWithinPartitions("part", F.col("segment") < 0)
+        return dealt.mapInArrow(run, "chunk long, part int, levels binary")
+
+
+def build_filter(vocabulary: DataFrame, texts: DataFrame, *, tokens: int, max_filter_mb: int, bits_per_token: int = 6, hashes: int = 4) -> Filter | SegmentTable:
     """Unigrams and bigrams into the segments of one filter; each segment is made by one task, batch after batch."""
     spark = texts.sparkSession
-    segment_bits = max(64, min(max_filter_mb << 23, tokens * bits_per_token) // SEGMENTS // 8 * 8)
+    segment_bits = max(64, tokens * bits_per_token // SEGMENTS // 8 * 8)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(SEGMENTS, -(-tokens // 4_000_000)))
 
     def unigrams(batches):
@@ -237,6 +290,8 @@ def build_filter(vocabulary: DataFrame, texts: DataFrame, *, tokens: int, max_fi
     singles = vocabulary.mapInArrow(unigrams, "segment int, gram long, c long").repartition(partitions, "segment")
     grams = count_bigrams(texts, partitions).unionByName(singles)
     made = materialize(grams.mapInArrow(insert, "segment int, bits binary"), "filter")
+    if segment_bits * SEGMENTS > max(max_filter_mb << 23, 64 * SEGMENTS if max_filter_mb else 0):
+        return SegmentTable(made, segment_bits, hashes)
     whole = np.zeros(SEGMENTS * segment_bits // 8, dtype=np.uint8)
     for row in made.toLocalIterator():  # bounded by max_filter_mb
         at = row["segment"] * segment_bits // 8
@@ -268,41 +323,95 @@ def score(docs: DataFrame, model: dict, *, id_col="doc_id", text_col="text") ->
     """(id, n_tokens, n_known, base_score, score) of every row of docs."""
     spark = docs.sparkSession
     tokens, total, mu = model["tokens"], model["tokens"] + model["distinct"] + 1, model["mu"]
-    shared = spark.sparkContext.broadcast((model["head"], model["filter"]))
-    id_type = docs.schema[id_col].dataType
-
-    def run(batches):
-        (head_hash, head_count), bloom = shared.value
-        middle, uid = estimates(), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+    bloom = model["filter"]
+    joined = isinstance(bloom, SegmentTable)
+    shared = spark.sparkContext.broadcast((model["head"], None if joined else bloom))
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def head_counts(hashes):
+        """Exact counts of the most frequent words, -1 for others."""
+        head_hash, head_count = shared.value[0]
         head_hash, head_count = np.append(head_hash, np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(head_count, -1)
+        at = np.searchsorted(head_hash, hashes)
+        return np.where(head_hash[at] == hashes, head_count[at], -1)
+
+    def scored(texts, levels):
+        middle, found = estimates(), Tokens(texts)
+        own, back = np.unique(found.hashes, return_inverse=True)
+        exact = head_counts(own)
+        rare = exact < 0
+        c = exact.astype(float)
+        c[rare] = middle[levels(own[rare])]
+        unigram, base = (c + 1) / total, np.where(rare, 0.0, np.log10((np.maximum(exact, 0) + 1) / total))
+        gram, gram_back = np.unique(bigram_hashes(found.hashes), return_inverse=True)
+        c2 = middle[levels(gram)][gram_back]
+        p = np.log10((c2 + mu * unigram[back[1:]]) / (np.maximum(c[back[:-1]], c2) + mu))
+        starts = found.ends[:-1]  # in the arrays of all tokens but the first, a text's tokens begin here
+        is_rare = rare[back[1:]]
+        rare_counts = np.add.reduceat(is_rare.astype(np.int64), starts)
+        rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rare_counts))), pa.int32()), pa.array(found.words(np.flatnonzero(is_rare) + 1), pa.binary()))
+        sizes = np.diff(found.ends)
+        return [pa.array(sizes), pa.array(sizes - rare_counts), pa.array(np.add.reduceat(base[back[1:]], starts)), pa.array(np.add.reduceat(p, starts)), rest]
+
+    names = ["uid", "id", "n_tokens", "known", "base", "score", "rest"]
+
+    def first_uid():
+        return (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
 
-        def scored(texts):
-            found = Tokens(texts)
-            own, back = np.unique(found.hashes, return_inverse=True)
-            at = np.searchsorted(head_hash, own)
-            exact = np.where(head_hash[at] == own, head_count[at], -1)
-            rare = exact < 0
-            c = exact.astype(float)
-            c[rare] = middle[bloom.levels(own[rare])]
-            unigram, base = (c + 1) / total, np.where(rare, 0.0, np.log10((np.maximum(exact, 0) + 1) / total))
-            gram, gram_back = np.unique(bigram_hashes(found.hashes), return_inverse=True)
-            c2 = middle[bloom.levels(gram)][gram_back]
-            p = np.log10((c2 + mu * unigram[back[1:]]) / (np.maximum(c[back[:-1]], c2) + mu))
-            starts = found.ends[:-1]  # in the arrays of all tokens but the first, a text's tokens begin here
-            is_rare = rare[back[1:]]
-            rare_counts = np.add.reduceat(is_rare.astype(np.int64), starts)
-            rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rare_counts))), pa.int32()), pa.array(found.words(np.flatnonzero(is_rare) + 1), pa.binary()))
-            sizes = np.diff(found.ends)
-            return [pa.array(sizes), pa.array(sizes - rare_counts), pa.array(np.add.reduceat(base[back[1:]], starts)), pa.array(np.add.reduceat(p, starts)), rest]
-
+    def run(batches):
+        uid = first_uid()
         for batch in batches:
             for at, texts in chunks(batch, 1):
                 serial = pa.array(uid + np.arange(len(texts)))
                 uid += len(texts)
-                yield pa.RecordBatch.from_arrays([serial, batch.column(0).slice(at, len(texts)), *scored(texts)], ["uid", "id", "n_tokens", "known", "base", "score", "rest"])
+                yield pa.RecordBatch.from_arrays([serial, batch.column(0).slice(at, len(texts)), *scored(texts, shared.value[1].levels)], names)
 
-    schema = f"uid long, id {id_type.simpleString()}, n_tokens long, known long, base double, score double, rest array<binary>"
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    def cut(batches):
+        """Chunks as rows, numbered by the uid of their first text."""
+        uid = first_uid()
+        for batch in batches:
+            for at, texts in chunks(batch, 1):
+                ends = pa.array([0, len(texts)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([uid]), *[pa.ListArray.from_arrays(ends, pa.concat_arrays([batch.column(i).slice(at, len(texts))])) for i in (0, 1)]], ["chunk", "ids", "texts"])
+                uid += len(texts)
+
+    def grams_of(texts):
+        """All n-grams whose levels the scores need, in order."""
+        found = Tokens(texts)
+        own = np.unique(found.hashes)
+        return np.unique(np.concatenate((own[head_counts(own) < 0], bigram_hashes(found.hashes))))
+
+    width = bloom.width if joined else SEGMENTS
+
+    def ask(batches):
+        for batch in batches:
+            for chunk, texts in zip(batch.column(0), batch.column(1)):
+                grams = grams_of(texts.as_py())
+                part = segment_of(grams).astype(np.int32) // width
+                cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+                own = [packed(grams[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk.as_py())), pa.array(part[cuts[:-1]]), pa.array(own, pa.binary())], ["chunk", "part", "grams"])
+
+    def answer(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                chunk, ids, texts, told = (batch.column(k)[i] for k in range(4))
+                texts = texts.as_py()
+                grams = grams_of(texts)
+                level = np.frombuffer(b"".join(x["levels"] for x in told.as_py()), dtype=np.uint8)
+                serial = pa.array(chunk.as_py() + np.arange(len(texts)))
+                yield pa.RecordBatch.from_arrays([serial, ids.values, *scored(texts, lambda asked: level[np.searchsorted(grams, asked)])], names)
+
+    schema = f"uid long, id {id_type}, n_tokens long, known long, base double, score double, rest array<binary>"
+    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if joined:
+        # written, so that the numbers of the chunks are the same in both readings
+        pieces = materialize(made.mapInArrow(cut, f"chunk long, ids array<{id_type}>, texts array<string>"), "chunks")
+        told = bloom.levels(pieces.select("chunk", "texts").mapInArrow(ask, "chunk long, part int, grams binary"))
+        told = told.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "levels"))).alias("told"))
+        made = pieces.join(told.hint("merge"), "chunk").select("chunk", "ids", "texts", "told").mapInArrow(answer, schema)
+    else:
+        made = made.mapInArrow(run, schema)
     made = materialize(made, "scored")
     rare = made.select("uid", F.explode("rest").alias("word")).groupBy("word", "uid").agg(F.count("*").alias("k"))
     rare = rare.join(model["vocabulary"], "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))

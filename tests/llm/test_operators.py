@@ -317,6 +317,22 @@ def test_lm_awkward(spark):
     assert empty["tokens"] == 0 and lm.score(df, empty).count() == len(AWKWARD)
 
 
+def test_lm_levels_have_estimates():
+    full = lm.Filter(np.full(lm.SEGMENTS * 8, 255, dtype=np.uint8), 64, 4)
+    assert lm.estimates()[full.levels(np.array([7], dtype=np.uint64))[0]] == (3 * 2.0**63 - 1) / 2
+    assert lm.estimates()[1:4].tolist() == [1, 2.5, 5.5]
+
+
+def test_lm_filter_beyond_the_broadcast_bound(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, ""), (-1, "")], "doc_id long, text string"))
+    train = table.where(queries.held("doc_id", 7) != 2).select("text")
+    small, large = (lm.fit(train, head_words=50, max_filter_mb=mb) for mb in (64, 0))
+    assert isinstance(small["filter"], lm.Filter) and isinstance(large["filter"], lm.SegmentTable)
+    assert large["filter"].segment_bits == small["filter"].segment_bits  # bits follow the tokens whatever the bound
+    one, other = (sorted(map(str, lm.score(table, m).select("id", "n_tokens", "n_known", F.round("base_score", 6), F.round("score", 6)).collect())) for m in (small, large))
+    assert one == other and len(one) == table.count()
+
+
 # --- packing
 
 
