@@ -283,6 +283,20 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, AWKWARD)).count() == 0
 
 
+def test_licenses_in_long_lines(spark):
+    rng, rows, want = np.random.default_rng(3), [], set()
+    for name, own in licenses.TEMPLATES.items():
+        for statement, _ in own:
+            for n in (300, 4000):
+                words = [f"{w}{rng.integers(1000)}" for w in rng.choice(["some", "long", "line", "prose"], n)]
+                words.insert(n // 2, "License: " + statement)
+                rows.append((len(rows), " ".join(words)))
+                want.add((len(rows) - 1, name))
+    got = licenses.scan(docs(spark, rows)).collect()
+    assert want <= {(r["id"], r["license"]) for r in got}
+    assert all(r["reduction"] > 0 for r in got if (r["id"], r["license"]) in want)
+
+
 # --- LM
 
 
