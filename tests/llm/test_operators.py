@@ -297,6 +297,20 @@ def test_licenses_in_long_lines(spark):
     assert all(r["reduction"] > 0 for r in got if (r["id"], r["license"]) in want)
 
 
+def test_licenses_wrapped(spark):
+    import textwrap
+
+    rows, want = [], set()
+    for name, own in licenses.TEMPLATES.items():
+        for statement, _ in own:
+            for width, mark in ((72, ""), (30, "# "), (72, " * ")):
+                body = [mark + line for line in textwrap.wrap(statement, width, break_on_hyphens=False, break_long_words=False)]
+                rows.append((len(rows), "\n".join(["first line", "", *body, "", "last line"])))
+                want.add((len(rows) - 1, name, 2, len(body) + 1, 1.0))
+    got = {(r["id"], r["license"], r["first_line"], r["last_line"], r["similarity"]) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert want <= got
+
+
 # --- LM
 
 
