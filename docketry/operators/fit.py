@@ -104,7 +104,7 @@ def signals() -> dict[str, Column]:
     }
 
 
-def gate_search(pool: DataFrame, *, max_terms=2, least=12) -> DataFrame:
+def gate_search(pool: DataFrame, *, max_terms=3, least=12) -> DataFrame:
     """(gate, approved, covered, review) of conjunctions of signals that cover enough cases and no denied one.
 
     Cases are first counted by their signals, so the combinations are made for distinct patterns only.

@@ -39,8 +39,7 @@ def modes(spark, sf_dir):
 
 
 def gates(spark, sf_dir):
-    pool = labelled(spark, sf_dir).where(F.col("path").isin(*fixed.NO_APPROVAL) & ((F.col("truth") != "DENIED") | (F.col("ocr_mean_confidence") < 80)))
-    return fit.gate_search(pool, max_terms=2).where("gate like '%good_ocr%'")
+    return fit.gate_search(labelled(spark, sf_dir).where(F.col("path").isin(*fixed.NO_APPROVAL)))
 
 
 def moments(spark, sf_dir):

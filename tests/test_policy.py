@@ -96,3 +96,30 @@ def test_priors_and_clamp(spark):
     df = emit.output_rows(frame(spark, [dict(fee_status=None, visa_class=None), dict(case_id="x")]).withColumns({"adjudication": F.lit("APPROVED"), "confidence": F.lit(7.0)}))
     rows = emit.clamp(emit.apply_priors(df)).collect()
     assert len(rows) == 1 and rows[0]["fee_status"] == "paid" and rows[0]["visa_class"] == "MED-3" and rows[0]["sponsor_id"] == "SPN-0100" and rows[0]["confidence"] == 1.0
+
+
+def test_gates_are_brute_force(spark, monkeypatch):
+    import random
+
+    from docketry.operators import fit
+    from docketry.plans import fit_queries
+
+    rng, cases = random.Random(4), []
+    for k in range(120):
+        row = dict(fee_status=rng.choice(["paid", None]), visa_class=rng.choice(["DIP-1", "MED-3", None]), sponsor_id=rng.choice(["SPN-0100", None]), has_scanned_pages=rng.random() < 0.5, ocr_mean_confidence=rng.choice([60.0, 90.0]), pages=rng.choice([3, 6]), registry_status=rng.choice(["CLEAR", None]))
+        # denied with good OCR too; never where fee, sponsor and a short packet meet
+        safe = row["fee_status"] and row["sponsor_id"] and row["pages"] == 3
+        cases.append(dict(row, case_id=f"MIB-{k:06d}", truth=rng.choice(["APPROVED", "NEEDS_REVIEW"] if safe else ["APPROVED", "DENIED", "DENIED"])))
+    truths = spark.createDataFrame([(c["case_id"], c["truth"], "clean" if k % 10 == 0 else "fee_unknown") for k, c in enumerate(cases)], "case_id string, truth string, path string")
+    pool = frame(spark, [{k: v for k, v in c.items() if k != "truth"} for c in cases]).join(truths, "case_id")
+    monkeypatch.setattr(fit_queries, "labelled", lambda s, d: pool)
+    names = sorted(fit.signals())
+    held = [r for r in pool.where("path <> 'clean'").select("truth", *[c.alias(n) for n, c in fit.signals().items()]).collect()]
+    want = {}
+    for size in (1, 2, 3):
+        for combo in itertools.combinations(names, size):
+            own = [r["truth"] for r in held if all(r[n] for n in combo)]
+            if len(own) >= 12 and "DENIED" not in own:
+                want[" AND ".join(combo)] = (own.count("APPROVED"), len(own), own.count("NEEDS_REVIEW"))
+    got = {r["gate"]: (r["approved"], r["covered"], r["review"]) for r in fit_queries.gates(spark, "").collect()}
+    assert got == want and any(g.count(" AND ") == 2 and "good_ocr" not in g for g in want)
