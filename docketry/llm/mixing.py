@@ -55,9 +55,9 @@ def splitting_tree(draws: DataFrame, *, shards: int, seed: int) -> DataFrame:
 
 
 def draw_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=(1, 2, 3), max_epochs=3, shards=16, seed=20_11) -> DataFrame:
-    """One row a document: id, source, size, source_size, target, epochs (whole copies), part (words of a last, cut copy), draws array<(epoch, shard)>."""
+    """One row a document: id, source, size, key (hash of id, source and text), source_size, target, epochs (whole copies), part (words of a last, cut copy), draws array<(epoch, shard)>."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sized")
+    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(id_col, source_col, text_col).alias("key")), "sized")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, max_epochs=max_epochs)
     every = F.sum("source_size").over(Window.partitionBy())
     targets = targets.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(BLOCK_WORDS), F.ceil(every / MAX_BLOCKS)))))
@@ -65,7 +65,7 @@ def draw_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="
     targets = targets.withColumn("epochs", F.least(epochs, F.lit(max_epochs)).cast("int"))
     targets = materialize(targets.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")), "targets")
     placed = sized.join(targets.select("source", "n_blocks"), sized.source.eqNullSafe(targets.source)).drop(targets.source)
-    placed = placed.select("id", sized.source, "size", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("n_blocks")).alias("block"))
+    placed = placed.select("id", sized.source, "size", "key", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("n_blocks")).alias("block"))
     placed = materialize(placed, "placed")
 
     blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("words"))
@@ -85,11 +85,11 @@ def draw_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="
     at = placed.source.eqNullSafe(blocks.source) & (placed.block == blocks.block)
     joined = placed.join(blocks, at).drop(blocks.source).drop(blocks.block)
     cut = (F.col("quota") > 0) & (F.col("quota") < F.col("words"))
-    within = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 3), "id"), F.col("id"), "size")
+    within = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 3), "id"), F.col("id"), "size", "key")
     run = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     boundary = joined.where(cut).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - run)).cast("long"))
     whole = joined.where(~cut).withColumn("part", F.when(F.col("quota") > 0, F.col("size")).otherwise(0).cast("long"))
-    return boundary.unionByName(whole).select("id", "source", "size", "source_size", "target", "epochs", "part", F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int>>")).alias("draws"))
+    return boundary.unionByName(whole).select("id", "source", "size", "key", "source_size", "target", "epochs", "part", F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int>>")).alias("draws"))
 
 
 def taken() -> F.Column:
@@ -101,15 +101,18 @@ def mix_sources(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col
     """The mix itself: the columns of docs, once for each draw, with `shard`, `copy` and the key of the local shuffle `shard_key`.
 
     A document's last, partial copy is cut to its first words. Documents that no draw takes are left out.
-    The ids must tell documents apart; rows that repeat one are drawn together.
+    Ids may repeat or be null: id, source and text tell documents apart, and rows equal in all three go by number.
     """
     seed = options.get("seed", 20_11)
     plan = draw_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    plan = plan.groupBy("id").agg(F.max_by("draws", "size").alias("draws"), F.max("epochs").alias("epochs"), F.max("part").alias("part"), F.max("size").alias("size"))
-    plan = plan.where(F.size("draws") > 0).select(F.col("id").alias("__dk_id"), "epochs", "part", "size", F.explode("draws").alias("d"))
+    plan = plan.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id", "source", "size", "part")))
+    plan = plan.where(F.size("draws") > 0).select(F.col("key").alias("__dk_key"), F.col("n").alias("__dk_n"), "epochs", "part", "size", F.explode("draws").alias("d"))
     plan = plan.where((F.col("d.epoch") <= F.col("epochs")) | (F.col("part") > 0) | (F.col("size") == 0))
-    plan = plan.select("__dk_id", F.col("d.epoch").alias("__dk_copy"), F.col("d.shard").alias("__dk_shard"), F.when((F.col("d.epoch") > F.col("epochs")) & (F.col("part") < F.col("size")), F.col("part")).alias("__dk_cut"))
-    mixed = docs.join(plan.hint("merge"), docs[id_col].eqNullSafe(plan.__dk_id))  # the same plan at every size
+    plan = plan.select("__dk_key", "__dk_n", F.col("d.epoch").alias("__dk_copy"), F.col("d.shard").alias("__dk_shard"), F.when((F.col("d.epoch") > F.col("epochs")) & (F.col("part") < F.col("size")), F.col("part")).alias("__dk_cut"))
+    numbered = docs.withColumn("__dk_own", F.xxhash64(id_col, source_col, text_col))
+    numbered = numbered.withColumn("__dk_row", F.row_number().over(Window.partitionBy("__dk_own").orderBy(id_col, source_col)))
+    # the same plan at every size; numbers are compared by difference, so that the join goes by the windows' own keys
+    mixed = numbered.join(plan.hint("merge"), (F.col("__dk_own") == F.col("__dk_key")) & (F.col("__dk_row") - F.col("__dk_n") == 0))
     head = F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("__dk_cut").cast("string"), F.lit("}+)"))
     text = F.when(F.col("__dk_cut").isNull(), F.col(text_col)).otherwise(F.call_function("regexp_extract", F.col(text_col), head, F.lit(0)))
     key = F.xxhash64(F.lit(seed + 4), F.col("__dk_shard"), F.col(id_col), F.col("__dk_copy"))

@@ -226,6 +226,18 @@ def test_mix_awkward(spark):
     assert mixing.draw_plan(docs(spark, AWKWARD).limit(0)).count() == 0
 
 
+def test_mix_with_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 40)
+    rows = [(None if i % 3 else i % 5, f"doc{i // 2} " + "w " * (i % 17), "en", "abc"[i % 7 % 3], 1) for i in range(150)]
+    rows += [(7, "equal in all three", "en", "a", 1)] * 6
+    table = docs(spark, rows)
+    wanted = {r["source"]: r["n"] for r in mixing.draw_plan(table).groupBy("source").agg(F.sum(mixing.taken()).alias("n")).collect()}
+    mixed = mixing.mix_sources(table).withColumn("n", F.regexp_count("text", F.lit(mixing.WORD)))
+    assert {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum("n").alias("n")).collect()} == wanted
+    drawn = mixing.draw_plan(table).select(F.explode("draws").alias("d"), "epochs", "part", "size").where((F.col("d.epoch") <= F.col("epochs")) | (F.col("part") > 0) | (F.col("size") == 0))
+    assert mixed.count() == drawn.count()
+
+
 # --- top-k and embeddings
 
 
