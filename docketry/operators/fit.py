@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..session import materialize
-from .policy import decide
+from .policy import with_choice
 
 
 def outcome_counts(scored: DataFrame, *keys: str) -> DataFrame:
@@ -59,8 +59,8 @@ def fold_calibration(scored: DataFrame, *, laplace=1.0, least=8) -> DataFrame:
 def held_out_decisions(scored: DataFrame, tables: DataFrame) -> DataFrame:
     """scored (case_id, path, truth, fold) + adjudication, confidence from the fold's own table."""
     joined = scored.join(F.broadcast(tables), ["path", "fold"], "left").withColumns({p: F.coalesce(p, F.lit(v)) for p, v in zip(("p_a", "p_d", "p_r"), fixed.FALLBACK)})
-    choice = decide([F.col("p_a"), F.col("p_d"), F.col("p_r")], ~F.col("path").isin(*fixed.NO_APPROVAL))
-    return joined.withColumn("_c", choice).select(*scored.columns, F.col("_c.verdict").alias("adjudication"), F.col("_c.confidence").alias("confidence"))
+    chosen = with_choice(joined, ("p_a", "p_d", "p_r"), ~F.col("path").isin(*fixed.NO_APPROVAL))
+    return chosen.select(*scored.columns, "adjudication", "confidence")
 
 
 def payoff() -> Column:

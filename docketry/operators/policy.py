@@ -61,20 +61,19 @@ def decision_path() -> Column:
     )
 
 
-def expected(choice: str, odds: list[Column]) -> Column:
-    total = F.lit(0.0)
-    for points, p in zip(fixed.PAYOFF[choice], odds):
-        total = total + F.lit(points) * p
-    return total
+def with_choice(df: DataFrame, odds: tuple[str, str, str], allow_approval: Column) -> DataFrame:
+    """+ adjudication, confidence: the choice of most expected points, ties to the first; approvals only with a margin over denial.
 
-
-def decide(odds: list[Column], allow_approval: Column) -> Column:
-    """struct(verdict, confidence): the choice of most expected points, ties to the first; approvals only with a margin over denial."""
-    a, d, r = (expected(o, odds) for o in fixed.OUTCOMES)
-    may = allow_approval & (odds[0] >= fixed.APPROVAL_MARGIN * odds[1])
-    verdict = F.when(may & (a >= d) & (a >= r), fixed.APPROVED).when(d >= r, fixed.DENIED).otherwise(fixed.NEEDS_REVIEW)
-    confidence = F.when(verdict == fixed.APPROVED, odds[0]).when(verdict == fixed.DENIED, odds[1]).otherwise(odds[2])
-    return F.struct(verdict.alias("verdict"), confidence.alias("confidence"))
+    Each step is a projection of its own, so a value that is used more than once is computed once.
+    """
+    points = [sum((F.lit(float(x)) * F.col(p) for x, p in zip(fixed.PAYOFF[o], odds)), F.lit(0.0)) for o in fixed.OUTCOMES]
+    df = df.withColumns({f"_worth_{k}": x for k, x in enumerate(points)})
+    a, d, r = (F.col(f"_worth_{k}") for k in range(3))
+    may = allow_approval & (F.col(odds[0]) >= fixed.APPROVAL_MARGIN * F.col(odds[1]))
+    df = df.withColumn("adjudication", F.when(may & (a >= d) & (a >= r), fixed.APPROVED).when(d >= r, fixed.DENIED).otherwise(fixed.NEEDS_REVIEW))
+    verdict = F.col("adjudication")
+    confidence = F.when(verdict == fixed.APPROVED, F.col(odds[0])).when(verdict == fixed.DENIED, F.col(odds[1])).otherwise(F.col(odds[2]))
+    return df.withColumn("confidence", confidence).drop("_worth_0", "_worth_1", "_worth_2")
 
 
 def feature_columns() -> list[Column]:
@@ -91,14 +90,22 @@ def feature_columns() -> list[Column]:
     return [x.cast("double") for x in (*flags, *rest)]
 
 
-def softmax(x: Column, mu, sigma, weights, bias) -> list[Column]:
-    """Odds of a multinomial logistic model on standardised features (an array Column)."""
-    scaled = F.zip_with(F.zip_with(x, F.lit(list(mu)), lambda a, m: a - m), F.lit(list(sigma)), lambda a, s: a / s)
-    dot = lambda k: F.aggregate(F.zip_with(scaled, F.lit([float(row[k]) for row in weights]), lambda a, w: a * w), F.lit(float(bias[k])), lambda acc, v: acc + v)
-    logits = [dot(k) for k in range(3)]
-    top = F.greatest(*logits)
-    powers = [F.exp(z - top) for z in logits]
-    return [p / (powers[0] + powers[1] + powers[2]) for p in powers]
+def with_softmax(df: DataFrame, x: list[Column], mu, sigma, weights, bias, *, prefix="q") -> DataFrame:
+    """+ prefix_a, prefix_d, prefix_r: odds of a multinomial logistic model on standardised features.
+
+    Plain arithmetic on doubles, projection after projection: no array, no lambda, each value computed once.
+    """
+    names = [f"_z{i}" for i in range(len(x))]
+    df = df.withColumns({n: (c - F.lit(float(m))) / F.lit(float(s)) for n, c, m, s in zip(names, x, mu, sigma)})
+    logits = {}
+    for k, name in enumerate(("_la", "_ld", "_lr")):
+        logits[name] = F.lit(float(bias[k]))
+        for n, row in zip(names, weights):
+            logits[name] = logits[name] + F.col(n) * F.lit(float(row[k]))
+    df = df.withColumns(logits).drop(*names)
+    df = df.withColumn("_top", F.greatest(*logits)).withColumns({n: F.exp(F.col(n) - F.col("_top")) for n in logits})
+    df = df.withColumn("_all", F.col("_la") + F.col("_ld") + F.col("_lr"))
+    return df.withColumns({f"{prefix}{n[2:]}": F.col(n) / F.col("_all") for n in logits}).drop("_top", "_all", *logits)
 
 
 def missing_fields() -> Column:
@@ -118,15 +125,11 @@ def with_odds(df: DataFrame, calibration: DataFrame) -> DataFrame:
 
 def adjudicate(evidence: DataFrame, calibration: DataFrame, *, use_resolver: bool = True) -> DataFrame:
     """+ path, adjudication, confidence. Paths that rest on gaps ask the resolver, which may deny or send to review only."""
-    df = with_odds(evidence.withColumn("path", decision_path()), calibration)
-    gap = F.col("path").isin(*fixed.NO_APPROVAL)
-    choice = decide([F.col("p_a"), F.col("p_d"), F.col("p_r")], ~gap)
+    df = with_odds(evidence.withColumn("path", decision_path()), calibration).withColumn("_gap", F.col("path").isin(*fixed.NO_APPROVAL))
     if use_resolver:
-        df = df.withColumn("_x", F.when(gap, F.array(*feature_columns())))
-        learned = decide(softmax(F.col("_x"), fixed.MU, fixed.SIGMA, fixed.WEIGHTS, fixed.BIAS), F.lit(False))
-        choice = F.when(gap, learned).otherwise(choice)
-    df = df.withColumn("_choice", choice)
-    return df.withColumns({"adjudication": F.col("_choice.verdict"), "confidence": F.col("_choice.confidence")}).drop("_choice", "_x", "p_a", "p_d", "p_r")
+        df = with_softmax(df, feature_columns(), fixed.MU, fixed.SIGMA, fixed.WEIGHTS, fixed.BIAS, prefix="_q")
+        df = df.withColumns({p: F.when(F.col("_gap"), F.col(q)).otherwise(F.col(p)) for p, q in (("p_a", "_qa"), ("p_d", "_qd"), ("p_r", "_qr"))}).drop("_qa", "_qd", "_qr")
+    return with_choice(df, ("p_a", "p_d", "p_r"), ~F.col("_gap")).drop("_gap", "p_a", "p_d", "p_r")
 
 
 def guardrail(df: DataFrame) -> DataFrame:

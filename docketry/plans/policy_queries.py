@@ -37,8 +37,8 @@ def path_odds(spark, sf_dir):
 
 
 def table_decisions(spark, sf_dir):
-    choice = policy.decide([F.col("p_a"), F.col("p_d"), F.col("p_r")], ~F.col("path").isin(*policy.fixed.NO_APPROVAL))
-    return policy.calibration_frame(spark).select("path", choice.alias("c")).select("path", "c.verdict", F.round("c.confidence", 6).alias("confidence"))
+    chosen = policy.with_choice(policy.calibration_frame(spark), ("p_a", "p_d", "p_r"), ~F.col("path").isin(*policy.fixed.NO_APPROVAL))
+    return chosen.select("path", F.col("adjudication").alias("verdict"), *r6("confidence"))
 
 
 def vectors(spark, sf_dir):
@@ -46,8 +46,8 @@ def vectors(spark, sf_dir):
 
 
 def resolver(spark, sf_dir):
-    odds = policy.softmax(F.col("x"), policy.fixed.MU, policy.fixed.SIGMA, policy.fixed.WEIGHTS, policy.fixed.BIAS)
-    return vectors(spark, sf_dir).select("case_id", *[F.round(p, 6).alias(n) for p, n in zip(odds, ("p_approved", "p_denied", "p_review"))])
+    odds = policy.with_softmax(in_context(spark, sf_dir), policy.feature_columns(), policy.fixed.MU, policy.fixed.SIGMA, policy.fixed.WEIGHTS, policy.fixed.BIAS)
+    return odds.select("case_id", *[F.round(f"q{k}", 6).alias(n) for k, n in zip("adr", ("p_approved", "p_denied", "p_review"))])
 
 
 QUERIES = {

@@ -86,9 +86,14 @@ def test_guardrail_only_demotes(spark):
     assert [r[0] for r in denied] == ["DENIED"]
 
 
+def test_each_value_is_computed_once(spark):
+    plan = policy.adjudicate(frame(spark, [{}]), policy.calibration_frame(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EXP(") <= 3 and "aggregate(" not in plan and "zip_with(" not in plan
+
+
 def test_margin_for_approval(spark):
     df = spark.createDataFrame([(0.5, 0.4, 0.1), (0.65, 0.25, 0.1)], "a double, d double, r double")
-    out = [r[0] for r in df.select(policy.decide([F.col("a"), F.col("d"), F.col("r")], F.lit(True))["verdict"]).collect()]
+    out = [r["adjudication"] for r in policy.with_choice(df, ("a", "d", "r"), F.lit(True)).collect()]
     assert out == ["DENIED", "APPROVED"]
 
 
