@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.distance import weighted_distance
+from ..session import ship
 
 
 def find_labels(words: DataFrame) -> DataFrame:
     """words (case_id, page_no, word_no, text, x0, y0, x1, y1) -> (case_id, page_no, field, x0, y0, x1, y1): the first run of a field's label tokens on one line of a page."""
     spark = words.sparkSession
+    ship(spark)
     words = words.withColumn("_w", F.regexp_replace(F.lower("text"), "[^a-z]", ""))
     tokens = spark.createDataFrame(sorted({(t,) for own in fixed.CELL_LABELS.values() for t in own}), "token string")
     near = words.select("_w").where("_w <> ''").distinct().join(F.broadcast(tokens)).where(weighted_distance("_w", "token") / F.length("token") <= 0.34)

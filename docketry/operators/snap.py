@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.distance import weighted_distance
 from ..functions.text import canon, found, parse_date, repair_sponsor
-from ..session import materialize
+from ..session import materialize, ship
 
 
 def vocabulary(spark, entries, tier: int = 0) -> DataFrame:
@@ -22,6 +22,7 @@ def vocabulary(spark, entries, tier: int = 0) -> DataFrame:
 
 def nearest(readings: DataFrame, entries: DataFrame, *, key: Column, entry_key: Column, extra: list[Column] | None = None) -> DataFrame:
     """readings (reading, ...) -> (reading, tier, entry, score, margin): the best entry of each tier, and how far the next one lies behind (NULL: none does)."""
+    ship(readings.sparkSession)
     pairs = readings.select("reading", key.alias("_a")).where("_a <> ''").distinct().join(F.broadcast(entries.select("tier", "entry", entry_key.alias("_b"))))
     pairs = pairs.withColumn("score", weighted_distance("_a", "_b") / F.greatest(F.lit(1), F.length("_b")))
     two = pairs.groupBy("reading", "tier").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "entry"))), 1, 2).alias("two"))  # as long as the vocabulary
@@ -60,6 +61,7 @@ def snap_visa(readings: DataFrame) -> DataFrame:
 
 def snap_fee(readings: DataFrame) -> DataFrame:
     """paid and unpaid differ by two letters: what begins like `un` can never become paid."""
+    ship(readings.sparkSession)
     first = F.element_at(F.split(F.trim("reading"), r"\s+"), 1)
     plain = F.regexp_replace(F.lower(first), r"^[.,;:]+|[.,;:]+$", "")
     token = F.regexp_replace(F.lower(first), "[^a-z]", "")
@@ -120,6 +122,7 @@ def parse_name(readings: DataFrame) -> DataFrame:
 def split_fused(tokens: DataFrame) -> DataFrame:
     """(reading, field, value): a label and its value that ran together, cut where both fit best."""
     spark = tokens.sparkSession
+    ship(spark)
     read = tokens.select("reading", F.regexp_replace("reading", r"[^\p{L}\p{N}]", "").alias("clean")).distinct().where(F.length("clean") >= 7)
     cuts = read.select("reading", "clean", F.explode(F.sequence(F.lit(3), F.length("clean") - 3)).alias("cut"))
     cuts = cuts.withColumns({"head": F.substr("clean", F.lit(1), F.col("cut")), "tail": F.substr("clean", F.col("cut") + 1)}).drop("clean")

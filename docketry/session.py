@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -50,17 +51,46 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder all machines share: spark.checkpoint.dir. Only a local session may do without: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="docketry-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def own_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
+    return f"{shared_dir(spark).rstrip('/')}/docketry/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors, nothing is computed twice."""
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors, nothing is computed twice.
+
+    The tables stay while the application may read them; `release` deletes them, at the latest when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/docketry/{label}-{uuid.uuid4().hex}"
+    ship(spark)
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _ENDINGS:
+        _ENDINGS.append(atexit.register(_release_last, spark))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_ENDINGS: list = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application. Call it when results have been read or written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _release_last(spark: SparkSession) -> None:
+    try:
+        release(spark)
+    except Exception:  # noqa: BLE001 - the session may be gone, and its folders with it
+        pass
