@@ -13,13 +13,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 600_000
 
 
-def chunks(batch, column: int):
-    """Slices of an Arrow batch with about CHUNK characters, one text at least: (from, texts)."""
+def chunks(batch, column: int, size: int = CHUNK):
+    """Slices of an Arrow batch with about `size` characters, one text at least: (from, texts)."""
     at, held, n = 0, [], 0
     for i, text in enumerate(batch.column(column)):
         held.append(text.as_py())
         n += len(held[-1] or "")
-        if n > CHUNK:
+        if n > size:
             yield at, held
             at, held, n = i + 1, [], 0
     if held:

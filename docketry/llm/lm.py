@@ -1,17 +1,19 @@
-"""LM scoring with a log-frequency Bloom filter of n-gram counts.
+"""LM scoring with log-frequency Bloom filters of bigram counts.
 
-Counts c are quantised to q = 1 + floor(log2 c), and an n-gram is inserted q times, as (n-gram, 1) ...
-(n-gram, q). A count is read back by probing (n-gram, 1), (n-gram, 2), ... until one is missing: errors are
-one-sided and fall off geometrically. The filter holds unigrams and bigrams of every training text. It is
-blocked: all probes of an n-gram lie in one segment, so each task builds whole segments and the filter is the
-segments in order. Its size follows the number of tokens at every size of the corpus, so the rate of false
-positives stays. Up to `max_filter_mb` it is broadcast. Beyond, the segments stay a table: the texts are written in
-chunks, each chunk's n-grams go to their segments, packed, are probed there and come back as levels, a byte each; the
-scores are the same.
+Counts c are quantised to q = 1 + floor(log2 c), and a bigram is inserted q times, as (bigram, 1) ... (bigram, q).
+A count is read back by probing (bigram, 1), (bigram, 2), ... until one is missing: errors are one-sided and fall
+off geometrically. What has to be held of the corpus grows with it, so no copy of it goes to every worker: the
+n-grams are dealt by hash into parts of about `part_chars` characters of text, each with a filter of its own that
+has `bits_per_token` bits for each bigram counted in it, whatever the corpus. A part's task counts its n-grams,
+builds the filter, probes it for everyone who asks, and lets it go.
 
-The model: P(w|v) = (c(v w) + mu P(w)) / (c(v) + mu), P(w) = (c(w) + 1) / (N + V + 1), counts from the filter
-but for the most frequent words, whose exact counts travel in a table of at most `head_words` entries. The
-base score is exact for all words: those outside the table are joined with the whole vocabulary.
+Texts are written in chunks. A chunk sends each part the list of its own n-grams, once each, with how often they
+stand in its training texts; back come, in the order of the list, exact counts of the words and levels of the
+bigrams, a byte each as a rule. One exchange of n-grams both trains and asks, so memory and tasks stay as they are
+at any size, a word that is everywhere is one entry a chunk, and a lost executor costs the parts it held.
+
+The model: P(w|v) = (c(v w) + mu P(w)) / (c(v) + mu), P(w) = (c(w) + 1) / (N + V + 1). Words' counts are exact (by
+a 64-bit hash of the word), so the base score is exact too.
 
 Null or empty text: the end token alone. Rows that repeat are scored, and counted, each for itself. With no
 training text N = V = 0 and every token is unseen.
@@ -22,75 +24,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, chunks, materialize
-
-SEGMENTS = 4096
-#: Bits of a filter that isn't broadcast which one task holds at once, and bytes of an n-gram on its way to them.
-PART_BITS, PACKED = 4 << 23, 6
-MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-#: One random number a byte value, and an odd base; the sums below are polynomials of them modulo 2**64.
-BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX1)
-BASE = np.uint64(0xD1342543DE82EF95)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
-
+from .common import chunks, materialize
+from .hashing import MIX1, MIX2, Tokens, mixed
 
-def powers(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n - 1, b, dtype=np.uint64)))) for b in (BASE, INVERSE)]
-    return _POWERS
-
-
-class Tokens:
-    """The tokens of some texts: where each begins and stops in `raw`, its hash, and which are ends of texts.
-
-    The first token is an end too: it stands before the first text as the last text's end stands before the next.
-    """
-
-    def __init__(self, texts: list[str | None]):
-        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        self.raw = (b" \n " + b" \n ".join(parts) + b" \n ").lower()
-        a = np.frombuffer(self.raw, dtype=np.uint8)
-        inside = ~SPACE[a]
-        marks = np.concatenate(([1], 1 + np.cumsum([len(p) + 3 for p in parts], dtype=np.int64)))
-        inside[marks] = True
-        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        self.starts, self.stops = edges[::2], edges[1::2]
-        up, down = powers(max(len(a), CHUNK * 2))
-        sums = np.zeros(len(a) + 1, dtype=np.uint64)
-        np.cumsum(BYTES[a] * up[: len(a)], out=sums[1:])
-        self.hashes = mixed((sums[self.stops] - sums[self.starts]) * down[self.starts] + (self.stops - self.starts).astype(np.uint64) * MIX2)
-        self.ends = np.searchsorted(self.starts, marks)
-
-    def words(self, at: np.ndarray) -> list[bytes]:
-        raw = self.raw
-        return [raw[a:b] for a, b in zip(self.starts[at].tolist(), self.stops[at].tolist())]
-
-
-END_HASH = Tokens([]).hashes[0]
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """Of words as the vocabulary has them; the end token is the word of one line feed."""
-    plain = [w for w in words if w != b"\n"]
-    out = np.full(len(words), END_HASH, dtype=np.uint64)
-    if plain:
-        found = Tokens([b" ".join(plain).decode("utf-8", "surrogatepass")]).hashes[1:-1]
-        out[np.array([w != b"\n" for w in words])] = found
-    return out
+#: Characters of text whose n-grams make one part: about a million tokens, some 100 MB while it is worked on.
+PART_CHARS = 6_000_000
+#: Characters of a chunk: the more, the fewer words are sent more than once.
+CHUNK_CHARS = 2_000_000
 
 
 def bigram_hashes(ids: np.ndarray) -> np.ndarray:
@@ -99,323 +42,199 @@ def bigram_hashes(ids: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """The segments' bits, and probes of many n-grams at once."""
+    """A log-frequency Bloom filter of 32-bit keys."""
 
-    def __init__(self, bits: np.ndarray, segment_bits: int, hashes: int, first: int = 0):
-        self.bits, self.segment_bits, self.hashes, self.first = bits, segment_bits, hashes, first
+    def __init__(self, n_bits: int, hashes: int = 4):
+        self.bits, self.hashes = np.zeros(max(64, n_bits), dtype=bool), hashes
 
-    def levels(self, grams: np.ndarray, most: int = 64) -> np.ndarray:
-        """Quantised counts: the last level of which all hashes are set; zero where (n-gram, 1) is missing. The bits begin with segment `first`."""
-        found, alive = np.zeros(len(grams), dtype=np.int16), np.arange(len(grams))
+    def places(self, keys: np.ndarray, level: int):
+        h = mixed(keys.astype(np.uint64) * MIX2 + np.uint64(int(MIX1) * level & 0xFFFFFFFFFFFFFFFF))
+        low, step, n = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1), np.uint64(len(self.bits))
+        for k in range(self.hashes):
+            yield ((low + np.uint64(k) * step) % n).astype(np.int64)
+
+    def insert(self, keys: np.ndarray, levels: np.ndarray) -> None:
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            for at in self.places(keys[levels >= level], level):
+                self.bits[at] = True
+
+    def levels(self, keys: np.ndarray, most: int = 64) -> np.ndarray:
+        """The last level of which all hashes are set; zero where (key, 1) is missing."""
+        found, alive = np.zeros(len(keys), dtype=np.uint8), np.arange(len(keys))
         for level in range(1, most + 1):
-            h = level_hash(grams[alive], level)
-            segment = (segment_of(grams[alive]) - np.uint64(self.first)) * np.uint64(self.segment_bits)
-            for k in range(self.hashes):
-                at = segment + place(h, k, self.segment_bits)
-                hit = ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                alive, h, segment = alive[hit], h[hit], segment[hit]
+            own, hit = keys[alive], np.ones(len(alive), dtype=bool)
+            for at in self.places(own, level):
+                hit &= self.bits[at]
+            alive = alive[hit]
             if not len(alive):
                 break
             found[alive] = level
         return found
 
     def false_positive_rate(self, n: int = 100_000, seed: int = 1) -> float:
-        """Measured with n-grams that were never inserted."""
-        return float((self.levels(np.random.default_rng(seed).integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean())
-
+        """Measured with keys taken at random."""
+        return float((self.levels(np.random.default_rng(seed).integers(0, 1 << 32, n).astype(np.uint32)) > 0).mean())
 
-def segment_of(grams: np.ndarray) -> np.ndarray:
-    return grams >> np.uint64(52)
 
-
-def level_hash(grams: np.ndarray, level) -> np.ndarray:
-    return mixed((grams & ~np.uint64(0xFFFF)) + MIX1 * np.asarray(level, dtype=np.uint64))
+def quantised(counts: np.ndarray) -> np.ndarray:
+    """1 + floor(log2 c), exactly; 0 for 0."""
+    return np.frexp(counts.astype(float))[1].astype(np.int64)
 
 
-def packed(grams: np.ndarray) -> bytes:
-    """The upper 48 bits, all that the filter looks at."""
-    return grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+def estimates() -> np.ndarray:
+    """The middle of the counts of each level."""
+    low = 2.0 ** np.arange(-1, 64)
+    low[0] = 0
+    return np.concatenate(([0.0], (low[1:] * 3 - 1) / 2))
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // PACKED, 8), dtype=np.uint8)
-    out[:, :PACKED] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, PACKED)
-    return out.reshape(-1).view(">u8").astype(np.uint64)
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as a byte each; those of 255 or more follow in full."""
+    small, big = np.minimum(counts, 255).astype(np.uint8), counts[counts >= 255].astype("<u8")
+    return small.tobytes() + big.tobytes()
 
 
-def place(h: np.ndarray, k: int, segment_bits: int) -> np.ndarray:
-    return ((h & np.uint64(0xFFFFFFFF)) + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) % np.uint64(segment_bits)
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, dtype=np.uint8, count=n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, dtype="<u8", offset=n).astype(np.int64)
+    return out
 
 
-def quantised(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log2 c), exactly."""
-    return np.frexp(counts.astype(float))[1].astype(np.int64)
+class Grams:
+    """The distinct n-grams of a chunk, sorted by hash: words and bigrams, and which of them each token is."""
 
+    def __init__(self, texts: list[str | None]):
+        self.found = found = Tokens(texts)
+        self.words, self.word_of = np.unique(found.hashes, return_inverse=True)
+        self.pairs, self.pair_of = np.unique(bigram_hashes(found.hashes), return_inverse=True)
 
-def estimates() -> np.ndarray:
-    """The middle of the counts of each level."""
-    low = 2.0 ** np.arange(-1, 64)
-    low[0] = 0
-    return np.concatenate(([0.0], (low[1:] * 3 - 1) / 2))
+    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word and bigram stands in the texts marked. A text's bigrams are those that end in its tokens, its end included."""
+        marked = np.repeat(train, np.diff(self.found.ends)).astype(float)
+        words = np.bincount(self.word_of[1:], weights=marked, minlength=len(self.words))
+        return words.astype(np.int64), np.bincount(self.pair_of, weights=marked, minlength=len(self.pairs)).astype(np.int64)
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word binary, c): over every text; tasks send one row a word and four million tokens."""
+def parts_of(hashes: np.ndarray, n_parts: int) -> np.ndarray:
+    """Parts in the order of the hashes, so a sorted list falls into runs."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
 
-    def run(batches):
-        held, n = [], 0
-
-        def rows():
-            """Words of the chunks held, each cut out of the text where it comes first."""
-            hashes, counts, sizes = np.concatenate([h for _, h, _, _ in held]), np.concatenate([c for _, _, c, _ in held]), [len(h) for _, h, _, _ in held]
-            _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            total = np.bincount(back, weights=counts).astype(np.int64)
-            order = np.argsort(first)
-            stops = np.searchsorted(first[order], np.cumsum(sizes))
-            words, done, begun = [], 0, 0
-            for (found, _, _, at), size, stop in zip(held, sizes, stops):
-                words += found.words(at[first[order[done:stop]] - begun])
-                done, begun = stop, begun + size
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(total[order])], ["word", "c"])
 
-        for batch in batches:
-            for _, texts_held in chunks(batch, 0):
-                found = Tokens(texts_held)
-                own, first, count = np.unique(found.hashes[1:], return_index=True, return_counts=True)
-                n += len(found.hashes)
-                found.starts, found.stops, found.hashes = found.starts[first + 1], found.stops[first + 1], None
-                held.append((found, own, count, np.arange(len(own))))
-                if n > 4_000_000:
-                    yield rows()
-                    held, n = [], 0
-        if held:
-            yield rows()
+LISTS = "part int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary"
 
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def ask_parts(pieces: DataFrame, n_parts: int) -> DataFrame:
+    """pieces (chunk, texts, train) -> the lists that go to the parts."""
 
-def count_bigrams(texts: DataFrame, partitions: int) -> DataFrame:
-    """(segment, gram, c), partitioned by segment."""
+    def run(batches):
+        for batch in batches:
+            for chunk, texts, train in zip(*(batch.column(i) for i in range(3))):
+                own = Grams(texts.as_py())
+                word_counts, pair_counts = own.counts(np.array(train.as_py(), dtype=bool))
+                edges = np.arange(n_parts + 1)
+                w, p = (np.searchsorted(parts_of(x, n_parts).astype(np.int64), edges) for x in (own.words, own.pairs))
+                keys = (own.pairs & np.uint64(0xFFFFFFFF)).astype("<u4")
+                some = np.flatnonzero((np.diff(w) > 0) | (np.diff(p) > 0))
+                rows = [(own.words[w[k] : w[k + 1]].astype("<u8").tobytes(), packed(word_counts[w[k] : w[k + 1]]), keys[p[k] : p[k + 1]].tobytes(), packed(pair_counts[p[k] : p[k + 1]])) for k in some.tolist()]
+                columns = [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk.as_py(), dtype=np.int64)), *[pa.array(list(c), pa.binary()) for c in zip(*rows)]]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "chunk", "words", "word_counts", "pairs", "pair_counts"])
+
+    return pieces.select("chunk", "texts", "train").mapInArrow(run, LISTS)
+
+
+def answer_part(lists: list[tuple], bits_per_token: int) -> tuple[list[tuple[bytes, bytes]], int, int]:
+    """Lists (words, word_counts, pairs, pair_counts) of one part -> each one's (word counts, pair levels), training tokens, distinct words among them."""
+    words, pairs = [np.frombuffer(x[0], dtype="<u8") for x in lists], [np.frombuffer(x[2], dtype="<u4") for x in lists]
+    counts = lambda at, own: np.concatenate([unpacked(x[at], len(y)) for x, y in zip(lists, own)])
+    distinct, back = np.unique(np.concatenate(words), return_inverse=True)
+    total = np.bincount(back, weights=counts(1, words), minlength=len(distinct)).astype(np.int64)
+    asked, pair_counts = np.concatenate(pairs), counts(3, pairs)
+    seen = pair_counts > 0
+    keys, at = np.unique(asked[seen], return_inverse=True)
+    sums = np.bincount(at, weights=pair_counts[seen], minlength=len(keys)).astype(np.int64)
+    bloom = Filter(int(sums.sum()) * bits_per_token)
+    bloom.insert(keys, quantised(sums))
+    levels, found = bloom.levels(asked), total[back]
+    out, i, j = [], 0, 0
+    for w, p in zip(words, pairs):
+        out.append((packed(found[i : i + len(w)]), levels[j : j + len(p)].tobytes()))
+        i, j = i + len(w), j + len(p)
+    return out, int(total.sum()), int((total > 0).sum())
+
+
+def answers(lists: DataFrame, n_parts: int, bits_per_token: int) -> DataFrame:
+    """lists -> (chunk, part, word_counts, levels, tokens, words); tokens and words stand in one row of each part."""
 
     def run(batches):
-        held, n = [], 0
+        held: list[tuple] = []
 
-        def rows():
-            gram, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(c.astype(np.int32))], ["gram", "c"])
+        def told():
+            found, tokens, words = answer_part([x[2:] for x in held], bits_per_token)
+            chunk, part = [x[1] for x in held], held[0][0]
+            n = len(held)
+            columns = [pa.array(chunk, pa.int64()), pa.array([part] * n, pa.int32()), *[pa.array(list(c), pa.binary()) for c in zip(*found)], pa.array([tokens] + [0] * (n - 1), pa.int64()), pa.array([words] + [0] * (n - 1), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "part", "word_counts", "levels", "tokens", "words"])
 
         for batch in batches:
-            for _, texts_held in chunks(batch, 0):
-                held.append(bigram_hashes(Tokens(texts_held).hashes))
-                n += len(held[-1])
-                if n > 6_000_000:
-                    yield rows()
-                    held, n = [], 0
+            for i in range(len(batch)):
+                row = tuple(c[i].as_py() for c in batch.columns)
+                if held and held[0][0] != row[0]:
+                    yield told()
+                    held.clear()
+                held.append(row)
         if held:
-            yield rows()
-
-    segment = F.shiftrightunsigned("gram", 52).cast("int").alias("segment")
-    dealt = texts.mapInArrow(run, "gram long, c int").select(segment, "gram", "c").repartition(partitions, "segment")
-    return dealt.groupBy("segment", "gram").agg(F.sum("c").alias("c"))
-
-
-class SegmentTable:
-    """A filter too large to broadcast: its segments as a table (segment, bits), probed where they lie, `width` segments at a time."""
-
-    def __init__(self, table: DataFrame, segment_bits: int, hashes: int):
-        self.table, self.segment_bits, self.hashes = table, segment_bits, hashes
-        self.width = min(SEGMENTS, max(1, PART_BITS // segment_bits))
-
-    def levels(self, asked: DataFrame) -> DataFrame:
-        """asked (chunk, part, grams packed) -> (chunk, part, levels), a byte an n-gram."""
-        segment_bits, hashes, width = self.segment_bits, self.hashes, self.width
-
-        def run(batches):
-            bloom, held = None, -1
-            for batch in batches:
-                parts, segments = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                cuts = np.flatnonzero(np.diff(parts, prepend=-1, append=-1))
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    if parts[a] != held:
-                        held, bloom = parts[a], Filter(np.zeros(width * segment_bits // 8, dtype=np.uint8), segment_bits, hashes, int(parts[a]) * width)
-                    data, at = batch.column(3), a
-                    while at < b and segments[at] >= 0:  # a part's bits come first
-                        to = (int(segments[at]) - bloom.first) * segment_bits // 8
-                        bloom.bits[to : to + segment_bits // 8] |= np.frombuffer(data[at].as_py(), dtype=np.uint8)
-                        at += 1
-                    if at < b:
-                        own = [data[i].as_py() for i in range(at, b)]
-                        found = bloom.levels(unpacked(b"".join(own))).astype(np.uint8).tobytes()
-                        ends = np.cumsum([len(x) // PACKED for x in own]).tolist()
-                        told = [found[x:y] for x, y in zip([0, *ends], ends)]
-                        yield pa.RecordBatch.from_arrays([batch.column(2).slice(at, b - at), batch.column(0).slice(at, b - at), pa.array(told, pa.binary())], ["chunk", "part", "levels"])
-
-        rows = asked.select("part", F.lit(-1).alias("segment"), "chunk", F.col("grams").alias("data"))
-        own = self.table.select(F.floor(F.col("segment") / width).cast("int").alias("part"), "segment", F.lit(0).cast("long").alias("chunk"), F.col("bits").alias("data"))
-        n = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-SEGMENTS // width))
-        dealt = rows.unionByName(own).repartition(n, "part").sortWithinPartitions("part", F.col("segment") < 0)
-        return dealt.mapInArrow(run, "chunk long, part int, levels binary")
-
-
-def build_filter(vocabulary: DataFrame, texts: DataFrame, *, tokens: int, max_filter_mb: int, bits_per_token: int = 6, hashes: int = 4) -> Filter | SegmentTable:
-    """Unigrams and bigrams into the segments of one filter; each segment is made by one task, batch after batch."""
-    spark = texts.sparkSession
-    segment_bits = max(64, tokens * bits_per_token // SEGMENTS // 8 * 8)
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(SEGMENTS, -(-tokens // 4_000_000)))
-
-    def unigrams(batches):
-        for batch in batches:
-            gram = word_hashes(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(gram).astype(np.int32)), pa.array(gram.view(np.int64)), batch.column(1)], ["segment", "gram", "c"])
+            yield told()
+
+    n = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_parts)
+    dealt = lists.repartition(n, "part").sortWithinPartitions("part", "chunk")
+    return dealt.mapInArrow(run, "chunk long, part int, word_counts binary, levels binary, tokens long, words long")
 
-    def insert(batches):
-        bits: dict[int, np.ndarray] = {}
-        for batch in batches:
-            segment = batch.column(0).to_numpy(zero_copy_only=False)
-            gram = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            level = quantised(batch.column(2).to_numpy(zero_copy_only=False))
-            for at in range(1, int(level.max(initial=0)) + 1):
-                chosen = level >= at
-                h, own = level_hash(gram[chosen], at), segment[chosen]
-                order = np.argsort(own, kind="stable")
-                cuts = np.flatnonzero(np.diff(own[order], prepend=-1, append=-1))
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    part = order[a:b]
-                    mine = bits.setdefault(int(own[part[0]]), np.zeros(segment_bits, dtype=bool))
-                    for k in range(hashes):
-                        mine[place(h[part], k, segment_bits).astype(np.int64)] = True
-        for s, mine in bits.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
-
-    singles = vocabulary.mapInArrow(unigrams, "segment int, gram long, c long").repartition(partitions, "segment")
-    grams = count_bigrams(texts, partitions).unionByName(singles)
-    made = materialize(grams.mapInArrow(insert, "segment int, bits binary"), "filter")
-    if segment_bits * SEGMENTS > max(max_filter_mb << 23, 64 * SEGMENTS if max_filter_mb else 0):
-        return SegmentTable(made, segment_bits, hashes)
-    whole = np.zeros(SEGMENTS * segment_bits // 8, dtype=np.uint8)
-    for row in made.toLocalIterator():  # bounded by max_filter_mb
-        at = row["segment"] * segment_bits // 8
-        whole[at : at + segment_bits // 8] |= np.frombuffer(row["bits"], dtype=np.uint8)
-    return Filter(whole, segment_bits, hashes)
-
-
-def fit(texts: DataFrame, *, max_filter_mb=64, head_words=100_000, mu=200.0) -> dict:
-    """texts: one column, the training texts. The model: vocabulary table, N, V, head table, filter."""
-    vocabulary = materialize(count_words(texts), "vocabulary")
-    bucket = F.floor(F.log2("c") * 16).cast("int")
-    sizes = vocabulary.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()  # a few hundred rows
-    tokens, distinct = sum(r["c"] for r in sizes), sum(r["n"] for r in sizes)
-    least, n = 1 << 30, 0
-    for r in sorted(sizes, key=lambda r: -r["bucket"]):
-        n += r["n"]
-        if n > head_words:
-            break
-        least = r["bucket"]
-    head = vocabulary.where(bucket >= least).collect()  # at most head_words rows
-    hashes = word_hashes([bytes(r["word"]) for r in head])
-    order = np.argsort(hashes)
-    head = hashes[order], np.array([r["c"] for r in head], dtype=np.int64)[order]
-    made = build_filter(vocabulary, texts, tokens=tokens, max_filter_mb=max_filter_mb)
-    return {"vocabulary": vocabulary, "tokens": tokens, "distinct": distinct, "head": head, "filter": made, "mu": mu}
-
-
-def score(docs: DataFrame, model: dict, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of every row of docs."""
-    spark = docs.sparkSession
-    tokens, total, mu = model["tokens"], model["tokens"] + model["distinct"] + 1, model["mu"]
-    bloom = model["filter"]
-    joined = isinstance(bloom, SegmentTable)
-    shared = spark.sparkContext.broadcast((model["head"], None if joined else bloom))
-    id_type = docs.schema[id_col].dataType.simpleString()
 
-    def head_counts(hashes):
-        """Exact counts of the most frequent words, -1 for others."""
-        head_hash, head_count = shared.value[0]
-        head_hash, head_count = np.append(head_hash, np.uint64(0xFFFFFFFFFFFFFFFF)), np.append(head_count, -1)
-        at = np.searchsorted(head_hash, hashes)
-        return np.where(head_hash[at] == hashes, head_count[at], -1)
-
-    def scored(texts, levels):
-        middle, found = estimates(), Tokens(texts)
-        own, back = np.unique(found.hashes, return_inverse=True)
-        exact = head_counts(own)
-        rare = exact < 0
-        c = exact.astype(float)
-        c[rare] = middle[levels(own[rare])]
-        unigram, base = (c + 1) / total, np.where(rare, 0.0, np.log10((np.maximum(exact, 0) + 1) / total))
-        gram, gram_back = np.unique(bigram_hashes(found.hashes), return_inverse=True)
-        c2 = middle[levels(gram)][gram_back]
-        p = np.log10((c2 + mu * unigram[back[1:]]) / (np.maximum(c[back[:-1]], c2) + mu))
-        starts = found.ends[:-1]  # in the arrays of all tokens but the first, a text's tokens begin here
-        is_rare = rare[back[1:]]
-        rare_counts = np.add.reduceat(is_rare.astype(np.int64), starts)
-        rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rare_counts))), pa.int32()), pa.array(found.words(np.flatnonzero(is_rare) + 1), pa.binary()))
-        sizes = np.diff(found.ends)
-        return [pa.array(sizes), pa.array(sizes - rare_counts), pa.array(np.add.reduceat(base[back[1:]], starts)), pa.array(np.add.reduceat(p, starts)), rest]
-
-    names = ["uid", "id", "n_tokens", "known", "base", "score", "rest"]
-
-    def first_uid():
-        return (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+def written_pieces(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
+    """(chunk, ids, texts, train, n_chars): the texts in chunks, written, so that their numbers are the same whenever they are read."""
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        uid = first_uid()
+        chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in batches:
-            for at, texts in chunks(batch, 1):
-                serial = pa.array(uid + np.arange(len(texts)))
-                uid += len(texts)
-                yield pa.RecordBatch.from_arrays([serial, batch.column(0).slice(at, len(texts)), *scored(texts, shared.value[1].levels)], names)
-
-    def cut(batches):
-        """Chunks as rows, numbered by the uid of their first text."""
-        uid = first_uid()
-        for batch in batches:
-            for at, texts in chunks(batch, 1):
+            for at, texts in chunks(batch, 1, CHUNK_CHARS):
                 ends = pa.array([0, len(texts)], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([uid]), *[pa.ListArray.from_arrays(ends, pa.concat_arrays([batch.column(i).slice(at, len(texts))])) for i in (0, 1)]], ["chunk", "ids", "texts"])
-                uid += len(texts)
+                columns = [pa.ListArray.from_arrays(ends, pa.concat_arrays([batch.column(i).slice(at, len(texts))])) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *columns, pa.array([sum(len(t or "") for t in texts)])], ["chunk", "ids", "texts", "train", "n_chars"])
+                chunk += 1
 
-    def grams_of(texts):
-        """All n-grams whose levels the scores need, in order."""
-        found = Tokens(texts)
-        own = np.unique(found.hashes)
-        return np.unique(np.concatenate((own[head_counts(own) < 0], bigram_hashes(found.hashes))))
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    return materialize(chosen.mapInArrow(run, f"chunk long, ids array<{id_type}>, texts array<string>, train array<boolean>, n_chars long"), "chunks")
 
-    width = bloom.width if joined else SEGMENTS
 
-    def ask(batches):
-        for batch in batches:
-            for chunk, texts in zip(batch.column(0), batch.column(1)):
-                grams = grams_of(texts.as_py())
-                part = segment_of(grams).astype(np.int32) // width
-                cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-                own = [packed(grams[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk.as_py())), pa.array(part[cuts[:-1]]), pa.array(own, pa.binary())], ["chunk", "part", "grams"])
-
-    def answer(batches):
+def fit_score(docs: DataFrame, train: Column, *, id_col="doc_id", text_col="text", mu=200.0, bits_per_token=6, part_chars=PART_CHARS) -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs; the model learns from the rows where `train` holds."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    pieces = written_pieces(docs, id_col, text_col, train)
+    n_parts = max(1, -(-(pieces.agg(F.sum("n_chars")).first()[0] or 0) // part_chars))
+    found = materialize(answers(ask_parts(pieces, n_parts), n_parts, bits_per_token), "answers")
+    size = found.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).first()
+    tokens = size["tokens"] or 0
+    total = float(tokens + (size["words"] or 0) + 1)
+
+    def run(batches):
+        middle = estimates()
         for batch in batches:
-            for i in range(len(batch)):
-                chunk, ids, texts, told = (batch.column(k)[i] for k in range(4))
-                texts = texts.as_py()
-                grams = grams_of(texts)
-                level = np.frombuffer(b"".join(x["levels"] for x in told.as_py()), dtype=np.uint8)
-                serial = pa.array(chunk.as_py() + np.arange(len(texts)))
-                yield pa.RecordBatch.from_arrays([serial, ids.values, *scored(texts, lambda asked: level[np.searchsorted(grams, asked)])], names)
-
-    schema = f"uid long, id {id_type}, n_tokens long, known long, base double, score double, rest array<binary>"
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    if joined:
-        # written, so that the numbers of the chunks are the same in both readings
-        pieces = materialize(made.mapInArrow(cut, f"chunk long, ids array<{id_type}>, texts array<string>"), "chunks")
-        told = bloom.levels(pieces.select("chunk", "texts").mapInArrow(ask, "chunk long, part int, grams binary"))
-        told = told.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "levels"))).alias("told"))
-        made = pieces.join(told.hint("merge"), "chunk").select("chunk", "ids", "texts", "told").mapInArrow(answer, schema)
-    else:
-        made = made.mapInArrow(run, schema)
-    made = materialize(made, "scored")
-    rare = made.select("uid", F.explode("rest").alias("word")).groupBy("word", "uid").agg(F.count("*").alias("k"))
-    rare = rare.join(model["vocabulary"], "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    added = rare.groupBy("uid").agg(F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(total)))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("also"))
-    joined = made.drop("rest").join(added, "uid", "left")
-    known = (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known")
-    return joined.select("id", "n_tokens", known, F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+            for ids, texts, told in zip(*(batch.column(i) for i in range(3))):
+                own, told = Grams(texts.as_py()), told.as_py()
+                raw = [x["word_counts"] for x in told]
+                sizes = np.diff(np.searchsorted(parts_of(own.words, n_parts).astype(np.int64), np.arange(n_parts + 1)))
+                c = np.concatenate([unpacked(r, int(sizes[x["part"]])) for r, x in zip(raw, told)])
+                c2 = middle[np.frombuffer(b"".join(x["levels"] for x in told), dtype=np.uint8)]
+                unigram = (c + 1) / total
+                word, before = own.word_of[1:], own.word_of[:-1]
+                pair = c2[own.pair_of]
+                p = np.log10((pair + mu * unigram[word]) / (np.maximum(c[before], pair) + mu))
+                starts = own.found.ends[:-1]  # in the arrays of all tokens but the first, a text's tokens begin here
+                add = lambda x: pa.array(np.add.reduceat(x, starts))
+                n = len(starts)
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(np.diff(own.found.ends)), add((c > 0).astype(np.int64)[word]), pa.array(np.full(n, tokens, dtype=np.int64)), add(np.log10(unigram)[word]), add(p)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    told = found.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "word_counts", "levels"))).alias("told"))
+    joined = pieces.join(told.hint("merge"), "chunk").select("ids", "texts", "told")
+    return joined.mapInArrow(run, f"id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

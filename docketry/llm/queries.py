@@ -57,9 +57,8 @@ def op7_licenses(spark, sf_dir):
 
 
 def op8_lm(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    model = lm.fit(docs.where(held("doc_id", 7) != 2).select("text"))
-    return lm.score(docs, model).withColumnRenamed("id", "doc_id").withColumn("held_out", held("doc_id", 7) == 2)
+    scored = lm.fit_score(table(spark, sf_dir, "documents"), held("doc_id", 7) != 2)
+    return scored.withColumnRenamed("id", "doc_id").withColumn("held_out", held("doc_id", 7) == 2)
 
 
 def op10_pii(spark, sf_dir):
