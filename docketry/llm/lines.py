@@ -1,116 +1,249 @@
-"""Line dedup: winnowing over line hashes.
-
-A text is its lines; a line is compared with its white space trimmed and squeezed. From every line a window
-runs forward, and another backward, over just enough lines to hold `min_words` words. A window's least line
-hash is its fingerprint (ties: the first line), so any run of lines of `min_words` words or more that occurs
-twice holds a whole window, and both of its occurrences pick the same line: repeats are guaranteed to share a
-fingerprint. Windows whose fingerprint is picked at one position only are dropped. The positions of a shared
-fingerprint are joined through the hash of the whole window around them, each window to its first occurrence
-in the order (id, text hash, line), never to all others, so hot passages cost no pairs. Matches extend both
-ways: forward windows carry them to the right, backward ones to the left, and their union is the longest run.
-
-Result, exactly: a line goes if it lies in a run of whole consecutive lines of `min_words` words or more in
-total that occurs earlier too. Runs may overlap their first occurrence. Lines without words never match
-alone but belong to the runs around them. Null or empty text: nothing goes. Rows that repeat both id and text
-are one document, and the same lines go from each. Null ids come first in the order.
+"""Line dedup: winnowing over hashes of lines that may begin at any word.
+
+Printed line ends say little: a passage is wrapped anew, or stands in the middle of a longer line. So the lines
+that are hashed are runs of `min_words - reach` words, one beginning at every word. Every `reach + 1` of them that
+follow one another make a window, `min_words` words long; a window's least hash is its fingerprint (ties: the
+first), so both occurrences of a passage of `min_words` words select the same line in it. Only selected lines
+leave the worker. Those selected in one place only are dropped; the others' positions are joined, each to the
+first in the order (id, text hash, position), never to all others, and the match is extended to both sides, word
+by word. An extension that stops short of `reach` on a side may go on with another occurrence than the first: its
+windows that are not yet matched are joined through the hash of the whole window. A text that occurs again whole
+needs no windows: it is one node from the start.
+
+Result, exactly: a word goes if it lies in a run of `min_words` words or more that occurs before: in an earlier
+document, or in the same one without overlap. Words are what white space separates; case counts. What is cut takes
+its white space along; a line end next to it stays. Null or empty text: nothing goes. Rows that repeat both id and
+text are one document, and the same words go from each. Null ids come first in the order.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .common import WORD, chunks, materialize
+from .hashing import Tokens, runs_of
+
+_WORDS = re.compile(WORD)
+
+
+def reach_of(min_words: int) -> int:
+    return min(16, min_words // 3)
+
+
+class Selected:
+    """The selected lines of some texts."""
+
+    def __init__(self, texts: list[str | None], min_words: int):
+        self.found = found = Tokens(texts, fold=False)
+        self.reach = reach = reach_of(min_words)
+        self.length = min_words - reach
+        lines = runs_of(found.hashes, self.length)
+        self.first, self.n_words = found.ends[:-1] + 1, np.diff(found.ends) - 1
+        last = np.repeat(found.ends[1:] - min_words, np.diff(found.ends))  # of each token's text, the last window's start
+        start = np.arange(found.ends[0], found.ends[-1])
+        start = start[(start <= last) & ~np.isin(start, found.ends)]
+        if not len(start):
+            self.at = self.low = self.high = self.text = np.empty(0, dtype=np.int64)
+            self.line = np.empty(0, dtype=np.uint64)
+            return
+        windows = np.lib.stride_tricks.sliding_window_view(lines, reach + 1)
+        # in slices: a long text needs no more memory than many short ones
+        at = np.concatenate([start[k : k + 65_536] + windows[start[k : k + 65_536]].argmin(axis=1) for k in range(0, len(start), 65_536)])
+        cuts = np.flatnonzero(np.diff(at, prepend=-1))
+        #: place, first and last window that selected it, text, hash
+        self.at, self.low = at[cuts], start[cuts]
+        self.high = start[np.append(cuts[1:], len(at)) - 1]
+        self.text = np.searchsorted(found.ends, self.at, side="right") - 1
+        self.line = lines[self.at]
+
+    def around(self, chosen: np.ndarray) -> np.ndarray:
+        """Hashes of the `reach` words before and after the lines chosen; 0 outside the text."""
+        at, own = self.at[chosen], self.text[chosen]
+        places = at[:, None] + np.concatenate((np.arange(-self.reach, 0), self.length + np.arange(self.reach)))
+        inside = (places > self.found.ends[own][:, None]) & (places < self.found.ends[own + 1][:, None])
+        words = (self.found.hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        return np.where(inside, words[np.clip(places, 0, len(words) - 1)], np.uint32(0))
+
+
+def select_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """docs (id, th, text) -> (id, th, n_words, lines): lines are (hash, position) of every selected one."""
+    id_type = docs.schema["id"].dataType.simpleString()
 
-from .common import materialize
-
-WINDOW = "first int, last int, mark long, hi long, lo long"
+    def run(batches):
+        for batch in batches:
+            for at, texts in chunks(batch, 2):
+                own = Selected(texts, min_words)
+                ends = np.searchsorted(own.text, np.arange(len(texts) + 1))
+                place = (own.at - own.first[own.text]).astype(np.int32)
+                rows = pa.StructArray.from_arrays([pa.array(own.line.view(np.int64)), pa.array(place)], ["line", "at"])
+                columns = [batch.column(i).slice(at, len(texts)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(own.n_words.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], ["id", "th", "n_words", "lines"])
 
+    return docs.mapInArrow(run, f"id {id_type}, th long, n_words long, lines array<struct<line:long,at:int>>")
 
-def windows_of(text: str, min_words: int) -> tuple[np.ndarray, ...]:
-    """(first, last, mark, hi, lo) arrays of a text's windows."""
-    import xxhash
 
-    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
-    words = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    sums = np.concatenate(([0], np.cumsum(words)))
-    if sums[-1] < min_words:
-        return (np.empty(0, dtype=np.int64),) * 5
-    raw = b"".join([xxhash.xxh64_digest(b" ".join(line)) for line in lines])
-    hashes = np.frombuffer(raw, dtype=">i8").astype(np.int64)
-    n = np.arange(len(lines))
-    forward = np.searchsorted(sums, sums[:-1] + min_words)  # the least end whose sum holds enough
-    backward = np.searchsorted(sums, sums[1:] - min_words, side="right") - 1
-    ok, back = forward <= len(lines), sums[1:] >= min_words
-    first = np.concatenate((n[ok], backward[back]))
-    last = np.concatenate((forward[ok] - 1, n[back]))
-    first, last = np.unique(np.stack((first, last)), axis=1)
-    mark, digests = [], []
-    for a, b in zip(first.tolist(), last.tolist()):
-        mark.append(int(hashes[a]) if a == b else int(hashes[a : b + 1].min()))
-        digests.append(xxhash.xxh3_128_digest(raw[8 * a : 8 * b + 8]))
-    both = np.frombuffer(b"".join(digests), dtype=">i8").reshape(-1, 2).astype(np.int64)
-    return first, last, np.array(mark, dtype=np.int64), both[:, 0], both[:, 1]
-
-
-def windows(docs: DataFrame, *, id_col="doc_id", text_col="text", min_words=50) -> DataFrame:
-    """(id, text_hash, first, last, mark, hi, lo): all windows of all texts."""
-    id_type = docs.schema[id_col].dataType
+def with_context(docs: DataFrame, min_words: int) -> DataFrame:
+    """docs (id, th, text, at array) -> (line, id, th, at, low, high, around): the selected lines at those positions."""
+    id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            ids, hashes, texts = batch.column(0), batch.column(1), batch.column(2)
-            found, at = [], []
-            for i in range(len(batch)):
-                own = windows_of(texts[i].as_py() or "", min_words)
-                if len(own[0]):
-                    found.append(own)
-                    at.append(np.full(len(own[0]), i))
-            if found:
-                take = pa.array(np.concatenate(at))
-                columns = [np.concatenate(x) for x in zip(*found)]
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([ids.take(take), hashes.take(take), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["id", "text_hash", "first", "last", "mark", "hi", "lo"])
-
-    chosen = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"id {id_type.simpleString()}, text_hash long, {WINDOW}")
-
-
-def repeated_runs(docs: DataFrame, *, id_col="doc_id", text_col="text", min_words=50) -> DataFrame:
-    """(id, text_hash, runs array<(first, last)>): the later repeats of each document that has any, as disjoint runs of lines."""
-    found = materialize(windows(docs, id_col=id_col, text_col=text_col, min_words=min_words), "windows")
-    at = F.struct("id", "text_hash", "first", "last")
-    shared = found.groupBy("mark").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b").select("mark")
-    candidates = found.join(shared, "mark", "left_semi")
-    place = F.struct("id", "text_hash", "first")
-    leaders = candidates.groupBy("hi", "lo").agg(F.min(place).alias("leader"), F.max(place).alias("tail")).where("leader != tail").drop("tail")
-    later = candidates.join(leaders, ["hi", "lo"]).where(place > F.col("leader")).select("id", "text_hash", "first", "last")
-    runs = later.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("found"))
-    none = F.array().cast("array<struct<first:int,last:int>>")
+            for first, texts in chunks(batch, 2):
+                own = Selected(texts, min_words)
+                asked = batch.column(3).slice(first, len(texts))
+                wanted = asked.flatten().to_numpy(zero_copy_only=False) + np.repeat(own.first, asked.value_lengths().to_numpy(zero_copy_only=False))
+                chosen = np.flatnonzero(np.isin(own.at, wanted))
+                take, base = pa.array(own.text[chosen]), own.first[own.text[chosen]]
+                around = own.around(chosen)
+                step = around.shape[1] * 4
+                raw = pa.Array.from_buffers(pa.binary(), len(chosen), [None, pa.py_buffer(np.arange(len(chosen) + 1, dtype=np.int32) * step), pa.py_buffer(around.tobytes())])
+                columns = [batch.column(i).slice(first, len(texts)).take(take) for i in (0, 1)]
+                places = [pa.array((x[chosen] - base).astype(np.int32)) for x in (own.at, own.low, own.high)]
+                yield pa.RecordBatch.from_arrays([pa.array(own.line[chosen].view(np.int64)), *columns, *places, raw], ["line", "id", "th", "at", "low", "high", "around"])
+
+    return docs.mapInArrow(run, f"line long, id {id_type}, th long, at int, low int, high int, around binary")
+
+
+def extended(pairs: DataFrame, min_words: int) -> DataFrame:
+    """pairs (id, th, at, low, high, around, line, leader_th, leader_id, leader_at, leader_around, same)
+    -> (id, th, first, last, hi, lo): repeated runs (hi null), and windows that an extension cut short left unmatched."""
+    import xxhash
 
-    def grow(acc, x):
-        joins = (F.size(acc) > 0) & (x["first"] <= F.coalesce(F.get(acc, F.size(acc) - 1)["last"], F.lit(-2)) + 1)
-        end = F.get(acc, F.size(acc) - 1)
-        wide = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(end["first"].alias("first"), F.greatest(end["last"], x["last"]).alias("last"))))
-        return F.when(joins, wide).otherwise(F.concat(acc, F.array(x)))
+    id_type, reach = pairs.schema["id"].dataType.simpleString(), reach_of(min_words)
+    length = min_words - reach
 
-    return runs.select("id", "text_hash", F.aggregate("found", none, grow).alias("runs"))
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            at, low, high, line, same, leader_at = (batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in ("at", "low", "high", "line", "same", "leader_at"))
+            own, other = (np.frombuffer(b"".join(batch.column(batch.schema.names.index(c)).to_pylist()), dtype=np.uint32).reshape(-1, 2 * reach) for c in ("around", "leader_around"))
+            equal = own == other
+            left = np.cumprod(equal[:, :reach][:, ::-1], axis=1).sum(axis=1)
+            right = np.cumprod(equal[:, reach:], axis=1).sum(axis=1)
+            apart = ~same | (at - leader_at >= min_words)
+            first = at - np.minimum(left, at)  # where both texts begin or end, the equal marks beyond are no words
+            last = at + length - 1 + np.minimum(right, (own[:, reach:] != 0).sum(axis=1))
+            long = (last - first + 1 >= min_words) & apart
+            rows = np.flatnonzero(long)
+            take, starts, ends, digests = [rows], [first[rows]], [last[rows]], [None] * len(rows)
+            # windows begin `back` words before the line; matched ones, and those equal to the leader's own, are done
+            for i in np.flatnonzero((left < reach) | (right < reach)).tolist():
+                key, raw = int(line[i]).to_bytes(8, "little", signed=True), own[i].tobytes()
+                back = np.arange(at[i] - high[i], at[i] - low[i] + 1)
+                back = back[(back > left[i]) | (reach - back > right[i])]
+                take.append(np.full(len(back), i))
+                starts.append(at[i] - back)
+                ends.append(at[i] - back + min_words - 1)
+                digests += [xxhash.xxh3_128_digest(key + bytes([b]) + raw[4 * (reach - b) : 4 * (2 * reach - b)]) for b in back.tolist()]
+            take = pa.array(np.concatenate(take))
+            parts = [None if d is None else (int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)) for d in digests]
+            columns = [batch.column(batch.schema.names.index(c)).take(take) for c in ("id", "th")]
+            columns += [pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, ends)]
+            columns += [pa.array([None if p is None else p[k] for p in parts], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "th", "first", "last", "hi", "lo"])
+
+    return pairs.mapInArrow(run, f"id {id_type}, th long, first int, last int, hi long, lo long")
+
+
+def joined_runs(found: DataFrame) -> DataFrame:
+    """(id, th, first, last) -> (id, th, runs array<(first, last)>): overlapping and touching ones as one, in order."""
+    text = Window.partitionBy("id", "th").orderBy("first", "last")
+    reached = F.max("last").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("first") > reached + 1, 1).otherwise(F.when(reached.isNull(), 1).otherwise(0))
+    numbered = found.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy("id", "th", "n").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return merged.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+
+
+def repeated_runs(docs: DataFrame, *, id_col="doc_id", text_col="text", min_words=50) -> tuple[DataFrame, DataFrame]:
+    """(sizes, runs): (id, th, n_words) of every row, and (id, th, runs array<(first, last)>) of words that go.
+
+    Texts that are there whole under an earlier id are in neither way listed word by word: of a text's ids only the
+    least has a row in `runs` (null: nothing goes), so what has none is a copy.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    sizes = materialize(select_lines(own, min_words), "lines")
+    texts = sizes.groupBy("th").agg(F.min(F.struct("id")).alias("least")).select(F.col("least.id").alias("id"), "th")
+    texts = materialize(texts, "texts")
+    once = sizes.where(F.size("lines") > 0).alias("a").join(texts.hint("merge").alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")), "left_semi")
+    places = materialize(once.select("id", "th", F.explode("lines").alias("l")).select("l.line", "id", "th", "l.at").distinct(), "places")
+    shared = places.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
+    needed = places.join(shared.hint("merge"), "line", "left_semi").groupBy("id", "th").agg(F.collect_list("at").alias("at"))
+    needed = needed.select(F.col("id").alias("__dk_id"), F.col("th").alias("__dk_th"), "at")
+    asked = own.join(needed.hint("merge"), F.col("id").eqNullSafe(F.col("__dk_id")) & (F.col("th") == F.col("__dk_th"))).select("id", "th", "text", "at")
+    seen = materialize(with_context(asked, min_words), "selected")
+
+    place = F.struct("id", "th", "at", "around")
+    leaders = seen.groupBy("line").agg(F.min(place).alias("leader"))
+    pairs = seen.join(leaders.hint("merge"), "line").withColumn("same", F.col("id").eqNullSafe(F.col("leader.id")) & (F.col("th") == F.col("leader.th")))
+    pairs = pairs.where(~F.col("same") | (F.col("at") != F.col("leader.at")))
+    pairs = pairs.select("id", "th", "at", "low", "high", "around", "line", F.col("leader.at").alias("leader_at"), F.col("leader.around").alias("leader_around"), "same")
+    found = materialize(extended(pairs, min_words), "extended")
+
+    windows = found.where("hi is not null")
+    place = F.struct("id", "th", "first")
+    first = windows.groupBy("hi", "lo").agg(F.min(place).alias("leader"), F.max(place).alias("tail")).where("leader != tail").drop("tail")
+    later = windows.join(first.hint("merge"), ["hi", "lo"])
+    apart = ~(F.col("id").eqNullSafe(F.col("leader.id")) & (F.col("th") == F.col("leader.th"))) | (F.col("first") - F.col("leader.first") >= min_words)
+    later = later.where((place > F.col("leader")) & apart).select("id", "th", "first", "last")
+    every = joined_runs(found.where("hi is null").select("id", "th", "first", "last").unionByName(later))
+    every = every.select(F.col("id").alias("__dk_id"), F.col("th").alias("__dk_th"), "runs")
+    runs = texts.join(every.hint("merge"), F.col("id").eqNullSafe(F.col("__dk_id")) & (F.col("th") == F.col("__dk_th")), "left").select("id", "th", "runs")
+    return sizes.select("id", "th", "n_words"), materialize(runs, "runs")
+
+
+def cut(text: str, runs: list[tuple[int, int]]) -> str:
+    """A text without the runs of words given."""
+    spans = [m.span() for m in _WORDS.finditer(text)]
+    out, done = [], 0
+    for first, last in runs:
+        before = text[spans[first - 1][1] if first else 0 : spans[first][0]]
+        after = text[spans[last][1] : spans[last + 1][0] if last + 1 < len(spans) else len(text)]
+        gap = after if last + 1 == len(spans) or ("\n" in after and "\n" not in before) else before
+        out += [text[done : spans[first][0] - len(before)], "" if not first and last + 1 == len(spans) else gap]
+        done = spans[last][1] + len(after)
+    return "".join([*out, text[done:]])
+
+
+@F.pandas_udf(StringType())
+def cut_words(texts: pd.Series, runs: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else cut(t, [(r["first"], r["last"]) for r in own]) for t, own in zip(texts, runs)], dtype=object)
+
+
+def _matched(rows: DataFrame, runs: DataFrame, id_col, text_hash, min_words: int) -> DataFrame:
+    """rows + __dk_runs and __dk_copy (the row's text is there under an earlier id)."""
+    runs = runs.select(F.col("id").alias("__dk_id"), F.col("th").alias("__dk_th"), F.col("runs").alias("__dk_runs"), F.lit(True).alias("__dk_first"))
+    joined = rows.join(runs.hint("merge"), id_col.eqNullSafe(runs["__dk_id"]) & (text_hash == runs["__dk_th"]), "left")  # the same plan at every size
+    return joined.withColumn("__dk_copy", F.col("__dk_first").isNull()).drop("__dk_id", "__dk_th", "__dk_first")
 
 
 def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", min_words=50) -> DataFrame:
-    """docs with the later repeated runs cut out of their texts; all rows and columns stay."""
-    runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words).select(F.col("id").alias("__dk_id"), F.col("text_hash").alias("__dk_hash"), F.col("runs").alias("__dk_runs"))
-    # the same plan at every size, whichever side is small
-    joined = docs.join(runs.hint("merge"), docs[id_col].eqNullSafe(runs.__dk_id) & (F.xxhash64(docs[text_col]) == runs.__dk_hash), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.exists("__dk_runs", lambda r: (r["first"] <= i) & (r["last"] >= i))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__dk_runs").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    """docs with the later repeated runs of words cut out of their texts; all rows and columns stay."""
+    _, runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words)
+    joined = _matched(docs, runs, docs[id_col], F.xxhash64(docs[text_col]), min_words)
+    cut_here = F.col("__dk_runs").isNotNull() & ~F.col("__dk_copy")
+    shorter = cut_words(F.when(cut_here, F.col(text_col)), F.when(cut_here, F.col("__dk_runs")))
+    long = F.regexp_count(F.col(text_col), F.lit(WORD)) >= min_words
+    text = F.when(F.col("__dk_copy") & long, F.lit("")).when(cut_here, shorter).otherwise(F.col(text_col))
+    return joined.withColumn("__dk_text", text).drop(text_col).withColumnRenamed("__dk_text", text_col).select(*docs.columns)
 
 
 def line_report(docs: DataFrame, *, id_col="doc_id", text_col="text", min_words=50) -> DataFrame:
-    """(id, n_lines, n_removed, removed): what dedup_lines takes out of each document, as 'first-last' runs joined by commas, lines counted from 0."""
-    runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words).select(F.col("id").alias("__dk_id"), F.col("text_hash").alias("__dk_hash"), "runs")
-    sized = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), (F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1).alias("n_lines"))
-    joined = sized.join(runs, sized.id.eqNullSafe(runs.__dk_id) & (sized.h == runs.__dk_hash), "left")
-    count = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
-    spans = F.array_join(F.transform("runs", lambda r: F.concat(r["first"].cast("string"), F.lit("-"), r["last"].cast("string"))), ",")
-    return joined.select("id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(count, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(spans, F.lit("")).alias("removed"))
+    """(id, n_words, n_removed, removed): what dedup_lines takes out of each document, as 'first-last' runs of words joined by commas, words counted from 0."""
+    sizes, runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words)
+    joined = _matched(sizes, runs, sizes["id"], sizes["th"], min_words)
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).cast("int").alias("last")))
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    gone = F.when(F.col("__dk_copy"), F.when(F.col("n_words") >= min_words, whole).otherwise(none)).otherwise(F.coalesce("__dk_runs", none))
+    joined = joined.withColumn("gone", gone)
+    count = F.aggregate("gone", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
+    spans = F.array_join(F.transform("gone", lambda r: F.concat(r["first"].cast("string"), F.lit("-"), r["last"].cast("string"))), ",")
+    return joined.select("id", "n_words", count.cast("long").alias("n_removed"), spans.alias("removed"))

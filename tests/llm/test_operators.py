@@ -97,50 +97,72 @@ def test_simhash_awkward(spark):
 
 
 def plain_removed(rows, least):
-    """Lines in a run of whole lines, least words or more, that occurs at an earlier start."""
-    split = [[" ".join(x.split()) for x in text.split("\n")] for _, text in rows]
-    size = [[len(x.split()) for x in own] for own in split]
+    """Words in a run of least words that occurs before, in an earlier text or earlier in the same without overlap."""
+    split = [(text or "").split() for _, text in rows]
     seen, out = {}, []
     for d, own in enumerate(split):
-        for a in range(len(own)):
-            total = 0
-            for b in range(a, len(own)):
-                total += size[d][b]
-                if total >= least:
-                    seen.setdefault(tuple(own[a : b + 1]), (d, a))
+        for a in range(len(own) - least + 1):
+            seen.setdefault(tuple(own[a : a + least]), (d, a))
     for d, own in enumerate(split):
         gone = set()
-        for a in range(len(own)):
-            total = 0
-            for b in range(a, len(own)):
-                total += size[d][b]
-                if total >= least and seen[tuple(own[a : b + 1])] < (d, a):
-                    gone |= set(range(a, b + 1))
+        for a in range(len(own) - least + 1):
+            e, b = seen[tuple(own[a : a + least])]
+            if e < d or a - b >= least:
+                gone |= set(range(a, a + least))
         out.append(sorted(gone))
     return out
 
 
-def test_lines_are_brute_force(spark):
-    rng = np.random.default_rng(1)
-    pool = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 5))) for _ in range(6)]
-    rows = [(i, "\n".join(rng.choice(pool, rng.integers(1, 12)))) for i in range(40)]
-    got = {r["id"]: r["removed"] for r in lines.line_report(docs(spark, rows), min_words=6).collect()}
-    for (i, _), gone in zip(rows, plain_removed(rows, 6)):
-        spans = [list(map(int, s.split("-"))) for s in got[i].split(",") if s]
-        assert [x for a, b in spans for x in range(a, b + 1)] == gone
+def removed_words(spans):
+    return [x for s in spans.split(",") if s for a, b in [map(int, s.split("-"))] for x in range(a, b + 1)]
+
+
+@pytest.mark.parametrize("least", [3, 6, 12])
+def test_lines_are_brute_force(spark, least):
+    rng = np.random.default_rng(least)
+    pool = [" ".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(12)]
+    glue = [" ", "\n", "  ", "\t\n"]
+    rows = [(i, "".join(x + rng.choice(glue) for x in rng.choice(pool, rng.integers(0, 14)))) for i in range(60)]
+    rows += [(60, "a " * 40), (61, rows[7][1]), (62, "b a " * 9), (63, rows[9][1] + " " + rows[11][1])]
+    got = {r["id"]: r["removed"] for r in lines.line_report(docs(spark, rows), min_words=least).collect()}
+    want = plain_removed(rows, least)
+    assert [removed_words(got[i]) for i, _ in rows] == want
+    left = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, rows), min_words=least).collect()}
+    for (i, text), gone in zip(rows, want):
+        assert left[i].split() == [w for k, w in enumerate(text.split()) if k not in set(gone)]
+        assert gone or left[i] == text
+
+
+def test_lines_find_passages_wherever_they_stand(spark):
+    rng = np.random.default_rng(2)
+    prose = lambda n: " ".join(f"w{rng.integers(1 << 30)}" for _ in range(n))
+    passages = [prose(n) for n in (50, 51, 60, 95, 400)]
+    rows = []
+    for k, p in enumerate(passages):
+        w = p.split()
+        rows += [(10 * k, p), (10 * k + 1, f"{prose(7)} {p} {prose(30)}"), (10 * k + 2, prose(20) + "\n" + "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)) + "\n" + prose(5)), (10 * k + 3, " ".join(w[:49]) + " " + prose(9))]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    for k, p in enumerate(passages):
+        before, after = rows[4 * k + 1][1].split(p)
+        assert got[10 * k] == p and got[10 * k + 1] == before + after.lstrip(" ")
+        kept = rows[4 * k + 2][1].split("\n")
+        assert got[10 * k + 2] == kept[0] + "\n" + kept[-1] and got[10 * k + 3] == rows[4 * k + 3][1]
 
 
 def test_lines_cut_passages_and_spare_the_rest(spark):
     passage = "\n".join(" ".join(f"p{i}x{k}" for k in range(20)) for i in range(3))
-    rows = [(1, f"first\n{passage}\nend"), (2, f"own words\n{passage}\nmore"), (3, "own words\nend")]
+    rows = [(1, f"first\n{passage}\nend"), (2, f"own words\n{passage}\nmore"), (3, "own words\nend"), (4, f"x {passage}\ny"), (5, passage)]
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, rows)).collect()}
-    assert got == {1: rows[0][1], 2: "own words\nmore", 3: rows[2][1]}
+    assert got == {1: rows[0][1], 2: "own words\nmore", 3: rows[2][1], 4: "x\ny", 5: ""}
 
 
 def test_lines_awkward(spark):
     df = docs(spark, AWKWARD)
-    assert sorted(map(str, lines.dedup_lines(df).collect())) == sorted(map(str, df.collect()))
-    assert lines.line_report(df.limit(0)).count() == 0
+    before, after = (sorted(map(str, x.where("doc_id is null or doc_id <> 6").collect())) for x in (df, lines.dedup_lines(df)))
+    assert before == after
+    periodic = lines.dedup_lines(df).where("doc_id = 6").first()["text"]
+    assert periodic.split() == AWKWARD[-1][1].split()[:50]  # fifty words stay, what repeats them goes
+    assert lines.line_report(df.limit(0)).count() == 0 and lines.dedup_lines(df.limit(0)).columns == df.columns
 
 
 # --- toxicity
@@ -326,51 +348,70 @@ def test_licenses_wrapped(spark):
 # --- LM
 
 
-def test_lm_is_exact_where_it_must(spark):
-    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    own = [(r["doc_id"], r["text"]) for r in table.collect()]
-    counts = {}
+def plain_lm(own, train, mu=200.0):
+    """Exact counts where the operator probes: (n_tokens, n_known, train tokens, base, score) of each text."""
+    words_of = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    one, two = {}, {}
     for i, t in own:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            for w in [*t.encode().lower().split(), b"\n"]:
-                counts[w] = counts.get(w, 0) + 1
-    n, v = sum(counts.values()), len(counts)
-    model = lm.fit(table.where(queries.held("doc_id", 7) != 2).select("text"), head_words=50)
-    assert (model["tokens"], model["distinct"]) == (n, v) and len(model["head"][0]) <= 50
-    got = {r["id"]: r for r in lm.score(table, model).collect()}
-    held = base = score = 0
+        if train(i):
+            words = words_of(t)
+            for v, w in zip([b"\n", *words], words):
+                one[w], two[v, w] = one.get(w, 0) + 1, two.get((v, w), 0) + 1
+    n, v_ = sum(one.values()), len(one)
+    p1 = lambda w: (one.get(w, 0) + 1) / (n + v_ + 1)
+    level = lambda c: (3 * 2 ** (c.bit_length() - 1) - 1) / 2 if c else 0
+    out = []
     for i, t in own:
-        words = [*t.encode().lower().split(), b"\n"]
-        want = sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in words)
-        assert abs(got[i]["base_score"] - want) < 1e-6 and got[i]["n_known"] == sum(w in counts for w in words) and got[i]["n_tokens"] == len(words)
-        if zlib.crc32(str(i).encode()) % 7 == 2:
-            held, base, score = held + 1, base + want, score + got[i]["score"]
-    assert held and score > base
-    grams = lm.word_hashes(list(counts))
-    assert (model["filter"].levels(grams) >= lm.quantised(np.array(list(counts.values())))).all() and model["filter"].false_positive_rate() < 0.2
+        words, score = words_of(t), 0.0
+        for v, w in zip([b"\n", *words], words):
+            c2 = level(two.get((v, w), 0))
+            score += np.log10((c2 + mu * p1(w)) / (max(one.get(v, 0), c2) + mu))
+        out.append((i, len(words), sum(w in one for w in words), n, sum(np.log10(p1(w)) for w in words), score))
+    return out
 
 
-def test_lm_awkward(spark):
-    df = docs(spark, AWKWARD)
-    assert lm.score(df, lm.fit(df.select("text"))).count() == len(AWKWARD)
-    empty = lm.fit(df.select("text").limit(0))
-    assert empty["tokens"] == 0 and lm.score(df, empty).count() == len(AWKWARD)
+@pytest.mark.parametrize("part_chars", [lm.PART_CHARS, 40_000])
+def test_lm_is_brute_force(spark, part_chars):
+    """Words are exact whatever the number of parts; bigrams but for the filter's false positives."""
+    extra = spark.createDataFrame([(None, None), (-1, ""), (-1, ""), (-2, "Der DER der " * 400)], "doc_id long, text string")
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(extra)
+    own = [(r["doc_id"], r["text"]) for r in table.collect()]
+    want = plain_lm(own, lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2)
+    got = sorted(map(tuple, lm.fit_score(table, queries.held("doc_id", 7) != 2, part_chars=part_chars).collect()), key=str)
+    want.sort(key=str)
+    assert [g[:4] for g in got] == [w[:4] for w in want] and all(abs(g[4] - w[4]) < 1e-6 for g, w in zip(got, want))
+    apart = [(g[5] - w[5]) / w[1] for g, w in zip(got, want)]  # a false positive lifts a token's odds
+    assert min(apart) > -0.05 and max(apart) < 0.5 and abs(np.mean(apart)) < 0.12
+    exact = lm.fit_score(table, queries.held("doc_id", 7) != 2, part_chars=part_chars, bits_per_token=64)
+    got = sorted(map(tuple, exact.collect()), key=str)
+    assert all(abs(g[5] - w[5]) < 0.01 * w[1] for g, w in zip(got, want))
 
 
-def test_lm_levels_have_estimates():
-    full = lm.Filter(np.full(lm.SEGMENTS * 8, 255, dtype=np.uint8), 64, 4)
-    assert lm.estimates()[full.levels(np.array([7], dtype=np.uint64))[0]] == (3 * 2.0**63 - 1) / 2
+def test_lm_awkward(spark):
+    df = docs(spark, AWKWARD)
+    assert lm.fit_score(df, F.lit(True)).count() == len(AWKWARD)
+    none = lm.fit_score(df, F.lit(None).cast("boolean")).collect()
+    assert len(none) == len(AWKWARD) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in none)
+    assert lm.fit_score(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_lm_filter_keeps_its_rate_at_any_load():
+    rng = np.random.default_rng(7)
+    rates = []
+    for n in (1_000, 100_000, 2_000_000):
+        keys, counts = np.unique(rng.integers(0, 1 << 32, n).astype(np.uint32)), None
+        counts = rng.geometric(0.6, len(keys))
+        f = lm.Filter(int(counts.sum()) * 6)
+        f.insert(keys, lm.quantised(counts))
+        assert (f.levels(keys) >= lm.quantised(counts)).all()
+        rates.append(f.false_positive_rate())
+    assert max(rates) < 0.08 and max(rates) - min(rates) < 0.02
+    full = lm.Filter(64)
+    full.bits[:] = True
+    assert full.levels(np.array([7], dtype=np.uint32))[0] == 64 and lm.estimates()[64] == (3 * 2.0**63 - 1) / 2
     assert lm.estimates()[1:4].tolist() == [1, 2.5, 5.5]
-
-
-def test_lm_filter_beyond_the_broadcast_bound(spark):
-    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, ""), (-1, "")], "doc_id long, text string"))
-    train = table.where(queries.held("doc_id", 7) != 2).select("text")
-    small, large = (lm.fit(train, head_words=50, max_filter_mb=mb) for mb in (64, 0))
-    assert isinstance(small["filter"], lm.Filter) and isinstance(large["filter"], lm.SegmentTable)
-    assert large["filter"].segment_bits == small["filter"].segment_bits  # bits follow the tokens whatever the bound
-    one, other = (sorted(map(str, lm.score(table, m).select("id", "n_tokens", "n_known", F.round("base_score", 6), F.round("score", 6)).collect())) for m in (small, large))
-    assert one == other and len(one) == table.count()
+    counts = np.array([0, 1, 254, 255, 256, 10**12])
+    assert lm.unpacked(lm.packed(counts), 6).tolist() == counts.tolist()
 
 
 # --- packing
