@@ -1,17 +1,21 @@
 """The training-corpus pipeline: five stages, each one operator on all that the stage before it kept.
 
 toxicity      documents whose toxicity score reaches 0.5 go
-line_dedup    runs of lines, 50 words or more, that occur earlier are cut; a document left without a word goes
-near_dedup    one document stays of those linked by a Jaccard similarity of 0.8 or more over five-word shingles
+line_dedup    runs of 50 words or more that occur earlier are cut; a document left without a word goes
+near_dedup    SimHash: one document stays of those linked by a Jaccard similarity of 0.8 or more over five-word shingles
 mixing        sources are drawn to their target weights: documents come up to three times, or not at all
 packing       what is left is tokenised and packed into sequences of 2048 tokens
+
+All labels train the first stage. Every stage takes nulls in any column, empty and very long texts, ties, repeated
+rows, empty tables and extra columns, and keeps all columns; what it does with them its operator's module says.
+Null and empty texts are clean, hold no line, are one class of near copies, have size 0 and pack as an end token.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.llm import lines, mixing, packing, similar, toxicity
+from docketry.llm import lines, mixing, packing, simhash, toxicity
 from docketry.llm.common import WORD, materialize, table
 from docketry.llm.queries import tokenizer_files
 
@@ -27,7 +31,7 @@ def line_dedup_stage(spark, docs, sf_dir):
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    return similar.keep_one(docs)
+    return simhash.keep_dissimilar(docs)
 
 
 def mixing_stage(spark, docs, sf_dir):

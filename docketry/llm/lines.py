@@ -173,16 +173,17 @@ def repeated_runs(docs: DataFrame, *, id_col="doc_id", text_col="text", min_word
     sizes = materialize(select_lines(own, min_words), "lines")
     texts = sizes.groupBy("th").agg(F.min(F.struct("id")).alias("least")).select(F.col("least.id").alias("id"), "th")
     texts = materialize(texts, "texts")
+    # counts, leaders and the like are tables before they are joined: so a line that stands everywhere is split over tasks
     once = sizes.where(F.size("lines") > 0).alias("a").join(texts.hint("merge").alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")), "left_semi")
-    places = materialize(once.select("id", "th", F.explode("lines").alias("l")).select("l.line", "id", "th", "l.at").distinct(), "places")
-    shared = places.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
-    needed = places.join(shared.hint("merge"), "line", "left_semi").groupBy("id", "th").agg(F.collect_list("at").alias("at"))
-    needed = needed.select(F.col("id").alias("__dk_id"), F.col("th").alias("__dk_th"), "at")
+    places = materialize(once.select("th", F.explode("lines").alias("l")).select("l.line", "th", "l.at"), "places")
+    shared = materialize(places.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "shared")
+    needed = places.join(shared.hint("merge"), "line", "left_semi").groupBy("th").agg(F.collect_list("at").alias("at"))
+    needed = needed.join(texts, "th").select(F.col("id").alias("__dk_id"), F.col("th").alias("__dk_th"), "at")
     asked = own.join(needed.hint("merge"), F.col("id").eqNullSafe(F.col("__dk_id")) & (F.col("th") == F.col("__dk_th"))).select("id", "th", "text", "at")
     seen = materialize(with_context(asked, min_words), "selected")
 
     place = F.struct("id", "th", "at", "around")
-    leaders = seen.groupBy("line").agg(F.min(place).alias("leader"))
+    leaders = materialize(seen.groupBy("line").agg(F.min(place).alias("leader")), "leaders")
     pairs = seen.join(leaders.hint("merge"), "line").withColumn("same", F.col("id").eqNullSafe(F.col("leader.id")) & (F.col("th") == F.col("leader.th")))
     pairs = pairs.where(~F.col("same") | (F.col("at") != F.col("leader.at")))
     pairs = pairs.select("id", "th", "at", "low", "high", "around", "line", F.col("leader.at").alias("leader_at"), F.col("leader.around").alias("leader_around"), "same")
@@ -191,6 +192,7 @@ def repeated_runs(docs: DataFrame, *, id_col="doc_id", text_col="text", min_word
     windows = found.where("hi is not null")
     place = F.struct("id", "th", "first")
     first = windows.groupBy("hi", "lo").agg(F.min(place).alias("leader"), F.max(place).alias("tail")).where("leader != tail").drop("tail")
+    first = materialize(first, "first")
     later = windows.join(first.hint("merge"), ["hi", "lo"])
     apart = ~(F.col("id").eqNullSafe(F.col("leader.id")) & (F.col("th") == F.col("leader.th"))) | (F.col("first") - F.col("leader.first") >= min_words)
     later = later.where((place > F.col("leader")) & apart).select("id", "th", "first", "last")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.llm import licenses, lines, lm, mixing, neighbours, packing, pii, queries, similar, simhash, topk, toxicity
+from docketry.llm import licenses, lines, lm, mixing, neighbours, packing, pii, queries, simhash, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,9 +69,11 @@ def test_simhash_is_brute_force(spark):
 
 def test_simhash_plans_and_crowded_keys(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    base = rng.integers(0, 1 << 62, 40)
-    values = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 5), replace=False)) for b in base for _ in range(12)})
-    near = [(i, j) for i in range(len(values)) for j in range(i) if bin(values[i] ^ values[j]).count("1") <= 4]
+    base = rng.integers(-(1 << 63), 1 << 63, 40)
+    unsigned = {(int(b) % (1 << 64)) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False)) for b in base for _ in range(12)}
+    values = sorted(simhash.signed(v) for v in unsigned)  # the highest bit is one like any other
+    differ = lambda a, b: bin((a ^ b) % (1 << 64)).count("1")
+    near = [(i, j) for i in range(len(values)) for j in range(i) if differ(values[i], values[j]) <= 4]
     want = components(len(values), near)
     fps = spark.createDataFrame([(v,) for v in values], "fp long")
     n, both = simhash.bit_statistics(fps)
@@ -80,7 +82,7 @@ def test_simhash_plans_and_crowded_keys(spark, monkeypatch):
     for plan in (simhash.allocate(both, n, 4), [(list(range(32)), 1), (list(range(32, 64)), 2)]):
         assert sum(t + 1 for _, t in plan) == 5
         links = {tuple(sorted((r["a"], r["b"]))) for r in simhash.link_groups(simhash.probes(fps, plan), 4).collect()}
-        assert all(bin(a ^ b).count("1") <= 4 for a, b in links)
+        assert all(differ(a, b) <= 4 for a, b in links)
         at = {v: i for i, v in enumerate(values)}
         assert components(len(values), [(at[a], at[b]) for a, b in links]) == want
 
@@ -89,7 +91,6 @@ def test_simhash_awkward(spark):
     got = simhash.simhash_components(docs(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD)
     assert {r["component_id"] for r in got if r["fp"] == 0} == {1}
-    assert simhash.keep_one(docs(spark, AWKWARD[:3])).count() == 2
     assert simhash.simhash_components(docs(spark, AWKWARD).limit(0)).count() == 0
 
 
@@ -498,7 +499,7 @@ def plain_jaccard(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] or sets[1] else 1.0
 
 
-def test_similar_is_brute_force(spark):
+def test_similar_is_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     texts = []
     for base in range(40):  # edited copies at similarities around 0.8 to 0.95, short and long
@@ -514,20 +515,23 @@ def test_similar_is_brute_force(spark):
     assert sum(0.8 <= s < 0.95 for *_, s in pairs) > 40 and sum(0.6 < s < 0.8 for *_, s in pairs) > 10
     want = components(len(texts), [(i, j) for i, j, s in pairs if s >= 0.8])
     rows = list(enumerate(texts))
-    got = {r["id"]: r["component_id"] for r in similar.similar_components(docs(spark, rows)).collect()}
+    got = {r["id"]: r["component_id"] for r in simhash.similar_components(docs(spark, rows)).collect()}
     assert [got[i] for i in range(len(texts))] == want
-    kept = {r["doc_id"] for r in similar.keep_one(docs(spark, rows)).collect()}
+    kept = {r["doc_id"] for r in simhash.keep_dissimilar(docs(spark, rows)).collect()}
     assert kept == set(want)
+    monkeypatch.setattr(simhash, "BLOCK", 16)  # crowded keys: the same classes
+    got = {r["id"]: r["component_id"] for r in simhash.similar_components(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
     import corpus_pipeline as c
 
     assert {r["doc_id"] for r in c.near_dedup_stage(spark, docs(spark, rows), SF).collect()} == kept
 
 
 def test_similar_awkward(spark):
-    got = similar.similar_components(docs(spark, AWKWARD)).collect()
+    got = simhash.similar_components(docs(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and {r["component_id"] for r in got if r["id"] in (1, 2, 5)} == {1}
-    assert similar.keep_one(docs(spark, AWKWARD[:3])).count() == 2
-    assert similar.similar_components(docs(spark, AWKWARD).limit(0)).count() == 0
+    assert simhash.keep_dissimilar(docs(spark, AWKWARD[:3])).count() == 2
+    assert simhash.similar_components(docs(spark, AWKWARD).limit(0)).count() == 0
 
 
 # --- pipeline
