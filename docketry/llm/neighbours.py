@@ -1,20 +1,20 @@
 """Embedding near-duplicates by collision counting on one-dimensional projections.
 
-Unit vectors are projected on m random Gaussian directions. Around a query's value in each sorted projection
-lies a window; a pair collides there if it falls in one another's window. Pairs that collide in at least
-`least` of the m windows are verified with their cosine in double precision. The difference of two unit
-vectors along a Gaussian direction is normal with their distance as deviation, so the window and `least` are
-calibrated in closed form: at the threshold cosine a pair passes with the recall asked for, and of the choices
-that do so the one that passes the fewest random pairs is taken. Values are kept as whole steps of a window's
-part, which sorts them into the lists' cells; the calibration allows for the rounding.
-
-Vectors are dealt into blocks and each pair of blocks is one task's: counts are made row slice against block,
-nothing is emitted but, for a vector, its number of links and a spanning forest of them. Equal vectors are one
-class with a weight, so copies, however many, cost nothing.
+Unit vectors are projected on m random Gaussian directions, and every projection is sorted. Around a query's value
+lies a window; all that a projection's sorted list holds between the window's ends, found by binary search, collides
+with the query. Collisions are counted for each pair, and pairs with `least` or more are verified with their cosine
+in double precision. The difference of two unit vectors along a Gaussian direction is normal with their distance as
+deviation, so m, the window and `least` are calibrated in closed form: of the choices that pass a pair at the
+threshold cosine with the recall asked for, the one of least expected work on unrelated vectors is taken.
+
+Vectors are dealt into blocks and each pair of blocks is one task's: nothing is emitted but, for a vector, its
+number of links and a spanning forest of them. Equal vectors are one class with a weight, so copies, however many,
+cost nothing. One dimension tells vectors apart by the quotient of their distances at most, 3.2 at cosine 0.9, so a
+window holds a good part of all unrelated vectors and the work grows with the square of the distinct ones.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing (component: their
 own id). Vectors of different length are never linked. Rows that repeat an id count as copies of one another.
-A null id is kept, with links to nothing.
+A null id is kept, with links to nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,31 +29,48 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize
 from .topk import matrix, whole_vectors
 
-BLOCK, SLICE, STEPS = 4096, 512, 12
+BLOCK, SLICE = 4096, 512
+#: Verifying a pair costs as much as counting so many collisions.
+VERIFY_COST = 40
 
 
-def tail(m: int, least: int, p: float) -> float:
-    return sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(least, m + 1))
+def tails(m: int, p: float) -> np.ndarray:
+    """Odds of 0, 1, ... m or more collisions of m, each with odds p."""
+    k = np.arange(m + 1)
+    odds = np.array([math.comb(m, int(i)) for i in k], dtype=float) * p**k * (1 - p) ** (m - k)
+    return np.minimum(1.0, odds[::-1].cumsum()[::-1])
 
 
-def calibrate(threshold: float, m: int, recall: float) -> tuple[float, int, float, float]:
-    """(window, least collisions, recall at the threshold, odds that a random pair passes)."""
+def calibrate(threshold: float, recall: float, most: int = 64) -> tuple[int, float, int, float, float]:
+    """(projections, window, least collisions, recall at the threshold, odds that an unrelated pair passes)."""
     apart = math.sqrt(2 - 2 * threshold)
     best = None
-    for k in range(8, 61):
-        window = apart * k / 20
-        inner = window * (1 - 1 / STEPS)  # rounding to steps may take one off either value
-        near, far = math.erf(inner / apart / math.sqrt(2)), math.erf(window * (1 + 1 / STEPS) / 2)
-        fitting = [x for x in range(1, m + 1) if tail(m, x, near) >= recall]
-        if fitting and (best is None or tail(m, fitting[-1], far) < best[3]):
-            best = (window, fitting[-1], tail(m, fitting[-1], near), tail(m, fitting[-1], far))
-    return best
-
-
-def cells(unit: np.ndarray, window: float, m: int, seed: int) -> np.ndarray:
-    """Projections in steps, one row a direction; the ends are held, which only adds collisions."""
+    for m in range(8, most + 1, 4):
+        for k in range(6, 61, 2):
+            window = apart * k / 20
+            near, far = tails(m, math.erf(window / apart / math.sqrt(2))), math.erf(window / 2)
+            least = int(np.flatnonzero(near >= recall)[-1])
+            passed = float(tails(m, far)[least])
+            work = m * far + VERIFY_COST * passed
+            if least and (best is None or work < best[0]):
+                best = work, m, window, least, float(near[least]), passed
+    return best[1:]
+
+
+def projected(unit: np.ndarray, m: int, seed: int) -> np.ndarray:
+    """Values along the directions, one row a direction."""
     directions = np.random.default_rng([seed, unit.shape[1]]).standard_normal((unit.shape[1], m))
-    return np.clip(np.rint(unit @ directions * (STEPS / window)), -100, 100).astype(np.int8).T.copy()
+    return np.ascontiguousarray((unit @ directions).T)
+
+
+def collisions(rows: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], window: float) -> np.ndarray:
+    """rows: values, one row a direction; lists: sorted values and whose they are. How often each of the rows meets each of the lists' vectors."""
+    counts = np.zeros((rows.shape[1], len(lists[0][0])), dtype=np.uint8)
+    for values, (ordered, order) in zip(rows, lists):
+        low, high = np.searchsorted(ordered, values - window), np.searchsorted(ordered, values + window, side="right")
+        for own, a, b in zip(counts, low.tolist(), high.tolist()):
+            own[order[a:b]] += 1
+    return counts
 
 
 def joins(adjacent: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
@@ -74,18 +91,17 @@ def joins(adjacent: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[t
     return out
 
 
-def block_links(ids_a, x_a, w_a, ids_b, x_b, w_b, *, same: bool, threshold: float, m: int, seed: int, window: float, least: int):
+def block_links(ids_a, x_a, w_a, ids_b, x_b, w_b, *, same: bool, threshold: float, seed: int, plan: tuple):
     """Links between two blocks: (id, weight linked) and forest edges."""
+    m, window, least = plan[:3]
     unit_a, unit_b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (x_a, x_b))
-    cell_a, cell_b = cells(unit_a, window, m, seed), cells(unit_b, window, m, seed)
+    values_a, values_b = projected(unit_a, m, seed), projected(unit_b, m, seed)
+    order = np.argsort(values_b, axis=1)
+    lists = [(v[o], o) for v, o in zip(values_b, order)]
     count_a, count_b, edges = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64), []
     for at in range(0, len(ids_a), SLICE):
         to = min(at + SLICE, len(ids_a))
-        hits = np.zeros((to - at, len(ids_b)), dtype=np.uint8)
-        for a, b in zip(cell_a, cell_b):
-            off = a[at:to, None].astype(np.int16) - b[None, :]
-            hits += np.abs(off) <= STEPS
-        passed = hits >= least
+        passed = collisions(values_a[:, at:to], lists, window) >= least
         if same:
             passed[np.arange(to - at), np.arange(at, to)] = False
         rows, columns = np.flatnonzero(passed.any(axis=1)), np.flatnonzero(passed.any(axis=0))
@@ -99,9 +115,9 @@ def block_links(ids_a, x_a, w_a, ids_b, x_b, w_b, *, same: bool, threshold: floa
     return count_a, count_b, edges
 
 
-def link_blocks(classes: DataFrame, *, threshold: float, m: int, seed: int, recall: float) -> DataFrame:
+def link_blocks(classes: DataFrame, *, threshold: float, seed: int, recall: float, most: int) -> DataFrame:
     """classes (id, v, weight) -> rows (id, linked weight, null) and (a, null, b)."""
-    window, least, _, _ = calibrate(threshold, m, recall)
+    plan = calibrate(threshold, recall, most)
     blocks = max(1, -(-classes.count() // BLOCK))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")
     dealt = classes.select("id", "v", "weight", F.size("v").alias("d"), own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -112,7 +128,7 @@ def link_blocks(classes: DataFrame, *, threshold: float, m: int, seed: int, reca
         own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
         a, same = own == i, bool(i[0] == j[0])
         b = a if same else ~a
-        count_a, count_b, edges = block_links(ids[a], x[a], weight[a], ids[b], x[b], weight[b], same=same, threshold=threshold, m=m, seed=seed, window=window, least=least)
+        count_a, count_b, edges = block_links(ids[a], x[a], weight[a], ids[b], x[b], weight[b], same=same, threshold=threshold, seed=seed, plan=plan)
         every, counts = (ids[a], count_a) if same else (np.concatenate((ids[a], ids[b])), np.concatenate((count_a, count_b)))
         some = counts > 0
         k, e = int(some.sum()), len(edges)
@@ -123,17 +139,18 @@ def link_blocks(classes: DataFrame, *, threshold: float, m: int, seed: int, reca
     return dealt.groupBy("d", "i", "j").applyInArrow(run, "id long, linked long, b long")
 
 
-def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", threshold=0.9, projections=32, recall=0.995, seed=6) -> DataFrame:
-    """(id, n_links, component_id, kept): one row a row of vectors."""
+def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", threshold=0.9, projections=64, recall=0.995, seed=6) -> DataFrame:
+    """(id, n_links, component_id, kept): one row a row of vectors. `projections`: the most that the calibration may take."""
     whole = whole_vectors(vectors, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
     # equal vectors are one class; -0.0 is 0.0
     whole = whole.select("id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
     classes = materialize(whole.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "classes")
-    links = materialize(link_blocks(classes, threshold=threshold, m=projections, seed=seed, recall=recall), "links")
+    links = materialize(link_blocks(classes, threshold=threshold, seed=seed, recall=recall, most=projections), "links")
     roots = connected_components(links.where("b is not null").select(F.col("id").alias("a"), "b"))
     counts = links.where("linked is not null").groupBy("id").agg(F.sum("linked").alias("linked"))
     found = classes.join(counts, "id", "left").join(roots, classes.id == roots.node, "left")
-    found = found.select("v", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    # a table before it is joined, so that the rows of a frequent vector are split over tasks
+    found = materialize(found.select("v", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")), "found")
     v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v)
     named = rows.join(found.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & F.col("id").isNotNull(), "left")

@@ -7,14 +7,19 @@ classes upward from its own length (the successors); documents meet gaps by rank
 two claim one gap; what is left opens new sequences; the gaps are updated, and the next superstep follows.
 The result is the same as placing the documents one by one, longest first, each in the tightest gap. The
 documents themselves never leave the executors: each finds its place by joining its rank to the intervals
-that the sweeps gave out.
+that the sweeps gave out. The sweeps over the classes run on the driver: their input is the counts of the lengths,
+and their output is bounded. A superstep leaves four runs of equal gaps more than it found at most, and a sequence
+holds 63 different lengths at most (the sum of 64 is over 2048), so there are 4 x 2048 x 63 intervals at most, some
+25 MB, whatever the input; that table is broadcast.
 
-Null or empty text: one piece holding only the end id. Rows that repeat are documents of their own.
+Null or empty text: one piece holding only the end id. Rows that repeat are documents of their own. A text that
+holds the wording of a special token gets that token's id, as the tokenizers library does by default.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 
@@ -33,6 +38,8 @@ class Encoder:
 
     def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
         self.json_path, self.slow, self.fast = json_path, None, None
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [token["content"] for token in json.load(f).get("added_tokens", [])]
         if ranks_path and pattern:
             import tiktoken
 
@@ -41,7 +48,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is not None:
+        if self.fast is not None and not any(token in text for token in self.special):
             try:
                 return self.fast.encode_ordinary(text)
             except BaseException as e:  # the regex engine of the fast library gives up on some very long runs
@@ -51,7 +58,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.json_path)
-            self.slow.encode_special_tokens = True
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
@@ -147,7 +153,7 @@ def best_fit(pieces: DataFrame, *, capacity=2048, group_rows=500_000) -> DataFra
     own = Window.partitionBy("length", "salt").orderBy("id", "piece", "start")
     ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(counts, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).alias("p")
-    # the intervals are bounded by the capacity, not by the input
+    # the intervals are bounded by the capacity, not by the input: see above
     found = ranked.join(F.broadcast(intervals).alias("i"), (F.col("p.length") == F.col("i.length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     step = F.col("rank") - F.col("lo")
     sequence = F.col("first") + F.floor(step / F.col("each"))

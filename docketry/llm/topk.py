@@ -8,8 +8,9 @@ dimensions of the query's component times the value at the lists' depth. A query
 below its k-th score: equality goes on, since a smaller id may tie. The blocks' answers are then merged.
 
 Components become floor(scale * x). Vectors that are null, empty, or hold null or non-finite components take
-no part, nor do null ids. Vectors of different length are never compared. Rows with the query's id are its
-own. Scores are exact while they fit 63 bits. No query or no candidate: no rows.
+no part, nor do null ids. Vectors of different length are never compared. Rows that repeat an id are queries and
+candidates of their own: a query leaves out its own row only, and each gives its k rows. Scores are exact while they
+fit 63 bits. No query or no candidate: no rows.
 """
 
 from __future__ import annotations
@@ -41,9 +42,9 @@ def matrix(column: pa.Array) -> np.ndarray:
 class SortedLists:
     """A block of candidates in the order of their ids, and every dimension's order of them."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray):
+        order = np.lexsort((rows, ids))
+        self.ids, self.rows, self.x = ids[order], rows[order], x[order]
         self.order = np.argsort(self.x, axis=0, kind="stable")  # ascending
         self.values = np.take_along_axis(self.x, self.order, axis=0)
 
@@ -53,7 +54,7 @@ class SortedLists:
             return np.full(len(q), -np.inf)
         return np.maximum(q, 0) @ self.values[-1 - depth] + np.minimum(q, 0) @ self.values[depth]
 
-    def top(self, query_ids: np.ndarray, q: np.ndarray, k: int, first_depth: int = 32, factor: int = 4):
+    def top(self, query_rows: np.ndarray, q: np.ndarray, k: int, first_depth: int = 32, factor: int = 4):
         """(query index, candidate index, score) of each query's k best, ties to the smaller id."""
         n, live = len(self.ids), np.arange(len(q))
         exact = float(np.abs(q).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * q.shape[1] < 2**53
@@ -74,7 +75,7 @@ class SortedLists:
             seen |= fresh
             if len(new):
                 score = (qs[live] @ x[new].T).astype(np.int64)
-                score[query_ids[live][:, None] == self.ids[new][None, :]] = none
+                score[query_rows[live][:, None] == self.rows[new][None, :]] = none
                 if len(new) > k:  # all that reach the k-th score; equal ones are told apart below
                     edge = np.partition(score, len(new) - k, axis=1)[:, len(new) - k]
                     often = int((score >= edge[:, None]).sum(axis=1).max())
@@ -96,27 +97,27 @@ class SortedLists:
 def top_k(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", every=20, k=20, scale=64) -> DataFrame:
     """(query_id, rank, id, score): for every row whose id is divisible by `every`, its k best among all other rows."""
     rows = whole_vectors(vectors, id_col, vector_col).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    rows = materialize(rows, "vectors")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")  # written: the numbers stay
     n, asked = rows.count(), rows.where(F.col("id") % every == 0).count()
     c_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-asked // QUERIES))
-    c = F.pmod(F.xxhash64("id"), F.lit(c_blocks)).alias("c")
-    q = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(q_blocks)).alias("q")
-    candidates = rows.select(F.size("v").alias("d"), c, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q"), F.lit(False).alias("asks"), "id", "v")
-    queries = rows.where(F.col("id") % every == 0).select(F.size("v").alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("c"), q, F.lit(True).alias("asks"), "id", "v")
+    c = F.pmod(F.xxhash64("row"), F.lit(c_blocks)).alias("c")
+    q = F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(q_blocks)).alias("q")
+    candidates = rows.select(F.size("v").alias("d"), c, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q"), F.lit(False).alias("asks"), "id", "row", "v")
+    queries = rows.where(F.col("id") % every == 0).select(F.size("v").alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("c"), q, F.lit(True).alias("asks"), "id", "row", "v")
 
     def answer(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids, x = table.column("id").to_numpy(), matrix(table.column("v"))
-        own, query_ids, qx = SortedLists(ids[~asks], x[~asks]), ids[asks], x[asks]
+        ids, numbers, x = table.column("id").to_numpy(), table.column("row").to_numpy(), matrix(table.column("v"))
+        own, query_rows, query_ids, qx = SortedLists(ids[~asks], numbers[~asks], x[~asks]), numbers[asks], ids[asks], x[asks]
         out = []
-        for at in range(0, len(query_ids), TOGETHER) if len(own.ids) else []:
-            row, place, score = own.top(query_ids[at : at + TOGETHER], qx[at : at + TOGETHER], k)
-            out.append((query_ids[at + row], own.ids[place], score))
-        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, dtype=np.int64)] * 3
-        return pa.table({name: pa.array(col, pa.int64()) for name, col in zip(("query_id", "id", "score"), columns)})
-
-    found = candidates.unionByName(queries).groupBy("d", "c", "q").applyInArrow(answer, "query_id long, id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+        for at in range(0, len(query_rows), TOGETHER) if len(own.ids) else []:
+            row, place, score = own.top(query_rows[at : at + TOGETHER], qx[at : at + TOGETHER], k)
+            out.append((query_rows[at + row], query_ids[at + row], own.ids[place], own.rows[place], score))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, dtype=np.int64)] * 5
+        return pa.table({name: pa.array(col, pa.int64()) for name, col in zip(("query_row", "query_id", "id", "row", "score"), columns)})
+
+    found = candidates.unionByName(queries).groupBy("d", "c", "q").applyInArrow(answer, "query_row long, query_id long, id long, row long, score long")
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "id", "row")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

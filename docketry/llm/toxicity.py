@@ -11,8 +11,11 @@ negatives from the clean ones, and the machine is refitted. Witnesses are also s
 A document's evidence is its highest margin and how densely tokens on the toxic side stand in it; a logistic
 curve on both, fitted on documents the machine had not seen, gives the probability.
 
-Training takes at most `max_docs` labelled documents, the bound of what the driver holds; scoring reads every
-text whole. Runs of single characters (`i d i o t`) are also read as one token. Empty or null text, and
+Labels mark documents, not sentences, so the machine's items are tokens: the sentence of one word is the smallest
+that can be toxic. Training takes at most `max_docs` labelled documents with `max_chars` characters in all, whole
+texts in the order of a hash of their ids, the bound of what the driver holds; the machine learns from at most
+`n_positive` witnesses beside the seeds, `n_frequent` frequent and `n_random` random clean tokens, and in each round
+`n_hard` of the clean tokens nearest to the toxic side and twice as many of the next. Scoring reads every text whole. Runs of single characters (`i d i o t`) are also read as one token. Empty or null text, and
 documents with no token above the floor, get the floor's probability. Rows that repeat get equal scores; with
 no usable labels every score is the share of toxic ones, or 0.
 """
@@ -153,7 +156,7 @@ class Machine:
 def sparse(token: str) -> dict[int, float]:
     """A token's normalised triple weights."""
     out: dict[int, float] = defaultdict(float)
-    for part in pieces(token)[:1]:
+    for part in pieces(token):
         if len(part) >= 3:
             codes, w = occurrences(symbols(part)[None, :])
             for code, x in zip(codes[0].tolist(), w[0].tolist()):
@@ -254,7 +257,7 @@ def witnesses(docs: list[tuple[set[str], int]], odds: float = 1e-4) -> tuple[lis
     return seeds, rest
 
 
-def train(rows: list[tuple[str, int]], *, landmarks: int = 256, rounds: int = 3, seed: int = 3) -> Machine:
+def train(rows: list[tuple[str, int]], *, landmarks: int = 256, rounds: int = 3, seed: int = 3, n_positive: int = 400, n_frequent: int = 2000, n_random: int = 4000, n_hard: int = 2000) -> Machine:
     """rows: (text, toxic). Half of them choose the witnesses of the curve's machine, the other half the curve."""
     share = sum(y for _, y in rows) / len(rows) if rows else 0.0
     flat = Machine(np.zeros(ALPHABET**3, dtype=np.float32), FLOOR, [0.0, 0.0, math.log(max(share, 1e-9) / max(1 - share, 1e-9))])
@@ -269,10 +272,10 @@ def train(rows: list[tuple[str, int]], *, landmarks: int = 256, rounds: int = 3,
         rng = np.random.default_rng(seed)
         common = Counter(t for tokens, y in own if not y for t in tokens if len(t) >= 3)
         bad = set(seeds) | set(rest)
-        frequent = [t for t, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:2000] if t not in bad]
+        frequent = [t for t, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:n_frequent] if t not in bad]
         others = sorted(t for t in common if t not in bad)
-        negatives = frequent + [others[i] for i in rng.permutation(len(others))[:4000]]
-        positives = seeds + rest[:400]
+        negatives = frequent + [others[i] for i in rng.permutation(len(others))[:n_random]]
+        positives = seeds + rest[:n_positive]
         for _ in range(rounds):
             shown = positives + [a for t in positives for a in altered(t)]
             marks = list(dict.fromkeys(seeds + rest[: landmarks // 2] + negatives[-landmarks // 4 :] + frequent[: landmarks // 4]))[:landmarks]
@@ -280,7 +283,7 @@ def train(rows: list[tuple[str, int]], *, landmarks: int = 256, rounds: int = 3,
             margins = token_margins(others, weight, bias)
             order = np.argsort(-margins, kind="stable")
             near = order[margins[order] > -0.7]
-            hard = np.concatenate((near[:2000], rng.permutation(near[2000:])[:4000]))
+            hard = np.concatenate((near[:n_hard], rng.permutation(near[n_hard:])[: 2 * n_hard]))
             negatives = negatives + [others[i] for i in hard]
         return weight, bias
 
@@ -324,12 +327,21 @@ def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
         used = [k for k in used if k not in down]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", max_docs=4000) -> list[tuple[str, int]]:
-    """At most max_docs labelled texts, chosen by hash of their id; only their labels are sorted, and only their texts move."""
+def training_rows(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", max_docs=4000, max_chars=100_000_000) -> list[tuple[str, int]]:
+    """At most max_docs labelled ids with max_chars characters, chosen by hash of the id; only labels are sorted, and only the chosen texts move. A text that occurs more than once under an id counts once."""
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__dk_id")).agg(F.max(label_col).alias("__dk_label"))
     own = own.orderBy(F.xxhash64("__dk_id"), "__dk_id").limit(max_docs)
-    found = docs.join(F.broadcast(own), docs[id_col] == own.__dk_id).select("__dk_id", F.col(text_col).alias("text"), "__dk_label").where("text is not null")
-    return [(r["text"], int(r["__dk_label"])) for r in sorted(found.collect(), key=lambda r: (r["__dk_id"], r["text"]))]
+    texts = docs.select(F.col(id_col).alias("__dk_key"), F.col(text_col).alias("text")).where("text is not null")
+    found = texts.join(F.broadcast(own), F.col("__dk_key") == F.col("__dk_id")).select("__dk_id", "text", "__dk_label")
+    sizes = found.select("__dk_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).distinct()
+    sizes = sizes.groupBy("__dk_id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("__dk_id"), "__dk_id").collect()  # at most max_docs rows
+    chosen, left = [], max_chars
+    for r in sizes:
+        if r["n"] <= left:
+            chosen.append(r["__dk_id"])
+            left -= r["n"]
+    rows = found.where(F.col("__dk_id").isin(chosen)).distinct().collect() if chosen else []
+    return [(r["text"], int(r["__dk_label"])) for r in sorted(rows, key=lambda r: (r["__dk_id"], r["text"]))]
 
 
 def score(docs: DataFrame, machine: Machine, *, id_col="doc_id", text_col="text") -> DataFrame:

@@ -286,6 +286,13 @@ def test_topk_is_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_topk_rows_that_repeat_an_id(spark):
+    extra = [(0, [2.0, 1.0]), (0, [2.0, 1.0]), (1, [1.0, 1.0])]
+    got = sorted(tuple(r) for r in topk.top_k(vectors(spark, [[1.0, 2.0], [3.0, 4.0]], extra), k=2).collect())
+    assert len(got) == 6 and [g[:2] for g in got] == [(0, 1)] * 3 + [(0, 2)] * 3  # three queries of one id, each without its own row
+    assert got.count((0, 1, 1, 192 * 64 + 256 * 128)) == 1
+
+
 def test_topk_few(spark):
     assert topk.top_k(vectors(spark, [[1.0, 2.0], [3.0, 4.0]])).count() == 1
     assert topk.top_k(vectors(spark, [[1.0, 2.0]]).limit(0)).count() == 0
@@ -305,6 +312,29 @@ def test_embeddings_recall(spark, monkeypatch):
     found = sum(got[i]["n_links"] for i in range(len(unit)))
     assert found >= 0.95 * true.sum() and all(got[i]["n_links"] <= true[i].sum() for i in range(len(unit)))
     assert got[len(unit)]["n_links"] == 0 and got[900]["component_id"] == 900
+    assert neighbours.near_duplicates(vectors(spark, x[:3]).limit(0)).count() == 0
+
+
+def test_embeddings_count_window_collisions():
+    m, window, least, recall, passed = neighbours.calibrate(0.9, 0.995)
+    assert recall >= 0.995 and passed < 0.1
+    rng = np.random.default_rng(8)
+    a, b = rng.standard_normal((m, 7)), rng.standard_normal((m, 300))
+    order = np.argsort(b, axis=1)
+    got = neighbours.collisions(a, [(v[o], o) for v, o in zip(b, order)], window)
+    assert (got == (np.abs(a[:, :, None] - b[:, None, :]) <= window).sum(axis=0)).all()
+
+
+def test_embeddings_recall_on_the_table(spark):
+    """Measured against all exact pairs of the driver's table."""
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    x = np.array([r["embedding"] for r in rows], dtype=float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = unit @ unit.T >= 0.9
+    np.fill_diagonal(true, False)
+    got = {r["id"]: r["n_links"] for r in neighbours.near_duplicates(table).collect()}
+    assert all(got[r["vec_id"]] <= n for r, n in zip(rows, true.sum(axis=1))) and sum(got.values()) >= 0.99 * true.sum()
 
 
 # --- licences
@@ -422,8 +452,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     files = queries.tokenizer_files()
-    plain = Tokenizer.from_file(files["json_path"])
-    plain.encode_special_tokens = True
+    plain = Tokenizer.from_file(files["json_path"])  # untouched: a special token's wording is that token
     rows = [*AWKWARD[:3], (7, "<|endoftext|> it's 100% ok\n\n"), AWKWARD[6], AWKWARD[7]]
     pieces = packing.tokenize_pieces(docs(spark, rows), capacity=100, with_ids=True, **files).collect()
     for key, text, *_ in rows:
@@ -483,6 +512,23 @@ def test_pii_base_is_the_contract(spark):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
 
 
+def test_pii_learns(spark):
+    """Precision and recall of each kind on the labelled sentences held out, and on spellings and decoys of this test."""
+    model = pii.fit(spark)
+    assert {k: (m[3] >= 0.95, m[4] >= 0.9) for k, m in model.items()} == {k: (True, True) for k in range(4)}
+    personal = ["please mail anna.k (at) stone4 (dot) org today", "host 10[.]20[.]30[.]40 was seen", "card 4111.1111.1111.1111 expired", "call (201) 555-0123 now", "tel. 201.555.0123"]
+    decoys = ["order 4111111111111112 shipped", "nadomi 9807915762804490 en", "meet me at noon. Then go", "isbn 978-316-1484", "version 812 . 40 . 900 . 1", "took 12:30:45:10:11:12:13:14 so", "4441 7442 8035 1541 in prose"]
+    rows = pii.redact_spans(docs(spark, list(enumerate(personal + decoys)))).collect()
+    assert [len(r["base"]) + len(r["added"]) for r in sorted(rows, key=lambda r: r["id"])] == [1] * len(personal) + [0] * len(decoys)
+
+
+def test_pii_many_matches(spark):
+    text = " ".join(f"a{i}@b{i}.com 10.0.{i % 300}.1 +1 (201) 555-{i:04d}," for i in range(700))
+    got = pii.redact_spans(docs(spark, [(1, text)])).select("id", pii.written(F.col("base")).alias("w")).first()["w"]
+    assert got == ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in CONTRACT.items() for m in re.finditer(p, text) if passes(k, m.group()))
+    assert pii.redact_spans(docs(spark, []).limit(0)).count() == 0
+
+
 def test_pii_redacts(spark):
     out = pii.redact(docs(spark, [(1, "write a@b.cc or +44 20 7946 0958 now"), (2, "nothing"), (3, None)])).select("doc_id", "text").collect()
     assert {r["doc_id"]: r["text"] for r in out} == {1: "write [email] or [phone] now", 2: "nothing", 3: None}
