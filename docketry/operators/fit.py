@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import materialize
+from ..session import materialize, ship
 from .policy import with_choice
 
 
@@ -104,6 +104,11 @@ def signals() -> dict[str, Column]:
     }
 
 
+def top_gates(gates: DataFrame, most: int = 20) -> DataFrame:
+    """The gates that approve most, then cover most."""
+    return gates.orderBy(F.col("approved").desc(), F.col("covered").desc(), F.col("gate").desc()).limit(most)
+
+
 def gate_search(pool: DataFrame, *, max_terms=3, least=12) -> DataFrame:
     """(gate, approved, covered, review) of conjunctions of signals that cover enough cases and no denied one.
 
@@ -167,20 +172,31 @@ def confusion_rates(pairs: DataFrame, *, least=3) -> DataFrame:
 
     def align(batches):
         for pdf in batches:
-            rows = [x for t, s in zip(pdf["truth"], pdf["seen"]) for x in substitutions(t, s)]
-            yield pd.DataFrame(rows, columns=["a", "b"])
+            rows = [(*x, n) for t, s, n in zip(pdf["truth"], pdf["seen"], pdf["times"]) for x in substitutions(t, s)]
+            yield pd.DataFrame(rows, columns=["a", "b", "times"])
 
-    counts = pairs.select("truth", "seen").mapInPandas(align, "a string, b string").groupBy("a", "b").agg(F.count("*").alias("n"))
+    # a distinct pair is aligned once, however often it was read; equal ones teach nothing
+    distinct = pairs.where("truth <> seen").groupBy("truth", "seen").agg(F.count("*").alias("times"))
+    ship(pairs.sparkSession)
+    counts = distinct.mapInPandas(align, "a string, b string, times long").groupBy("a", "b").agg(F.sum("times").alias("n"))
     rate = F.round(F.col("n") / F.sum("n").over(Window.partitionBy("a")), 4)
     return counts.withColumn("rate", rate).where(F.col("n") >= least)
 
 
+def top_confusions(rates: DataFrame, most: int = 25) -> DataFrame:
+    return rates.orderBy(F.col("n").desc(), "a", "b").limit(most)
+
+
 def fit_resolver(rows: DataFrame, features, *, l2=1.0, rounds=400, rate=0.5) -> DataFrame:
     """rows (fold, truth, features...) -> (fold, outcome, bias, weights): multinomial logistic regression by gradient descent, a model a fold.
 
     Rows are first counted by fold, outcome and features, so a fold's training set is as large as its distinct evidence.
     """
-    counted = rows.groupBy("fold", "truth", *features).agg(F.count("*").alias("n"))
+    return fit_counted(rows.groupBy("fold", "truth", *features).agg(F.count("*").alias("n")), features, l2=l2, rounds=rounds, rate=rate)
+
+
+def fit_counted(counted: DataFrame, features, *, l2=1.0, rounds=400, rate=0.5) -> DataFrame:
+    """counted (fold, truth, features..., n) -> as fit_resolver."""
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         x, n = pdf[list(features)].to_numpy(float), pdf["n"].to_numpy(float)
@@ -194,3 +210,33 @@ def fit_resolver(rows: DataFrame, features, *, l2=1.0, rounds=400, rate=0.5) ->
         return pd.DataFrame({"fold": pdf["fold"].iloc[0], "outcome": fixed.OUTCOMES, "bias": b, "weights": list(w.T)})
 
     return counted.groupBy("fold").applyInPandas(train, "fold int, outcome string, bias double, weights array<double>")
+
+
+def held_out_resolver(rows: DataFrame, features, *, least=40, **options) -> DataFrame:
+    """rows (case_id, fold, truth, features...) -> (case_id, q_a, q_d, q_r): each case's odds from a model fitted on the other folds.
+
+    Rows are counted by features before they go to the other folds, so as many copies move as there is distinct evidence.
+    A fold whose training set holds under `least` cases has no odds.
+    """
+    counted = rows.groupBy("fold", "truth", *features).agg(F.count("*").alias("n"))
+    held = rows.select(F.col("fold").alias("held")).distinct()
+    train = counted.join(F.broadcast(held), F.col("fold") != F.col("held")).drop("fold").withColumnRenamed("held", "fold")
+    train = train.groupBy("fold", "truth", *features).agg(F.sum("n").alias("n"))
+    enough = train.groupBy("fold").agg(F.sum("n").alias("size")).where(F.col("size") >= least).select("fold")
+    models = fit_counted(train.join(F.broadcast(enough), "fold"), features, **options)
+    wide = models.groupBy("fold").agg(*[F.max(F.when(F.col("outcome") == o, F.struct("bias", "weights"))).alias(k) for o, k in zip(fixed.OUTCOMES, ("m_a", "m_d", "m_r"))])
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    logit = lambda k: F.aggregate(F.zip_with(F.col("x"), F.col(f"{k}.weights"), lambda a, w: a * w), F.col(f"{k}.bias"), lambda a, v: a + v)
+    scored = rows.withColumn("x", x).join(F.broadcast(wide), "fold").withColumns({f"z_{k}": logit(f"m_{k}") for k in "adr"})  # a model a fold
+    scored = scored.withColumn("top", F.greatest("z_a", "z_d", "z_r")).withColumns({f"e_{k}": F.exp(F.col(f"z_{k}") - F.col("top")) for k in "adr"})
+    total = F.col("e_a") + F.col("e_d") + F.col("e_r")
+    return scored.select("case_id", *[(F.col(f"e_{k}") / total).alias(f"q_{k}") for k in "adr"])
+
+
+def with_held_out_odds(scored: DataFrame, tables: DataFrame, odds: DataFrame) -> DataFrame:
+    """held_out_decisions, where cases on paths that rest on gaps take the resolver's held-out odds if they have any."""
+    joined = scored.join(F.broadcast(tables), ["path", "fold"], "left").join(odds, "case_id", "left")
+    gap = F.col("path").isin(*fixed.NO_APPROVAL)
+    names = (("p_a", "q_a"), ("p_d", "q_d"), ("p_r", "q_r"))
+    joined = joined.withColumns({p: F.when(gap & F.col("q_a").isNotNull(), F.col(q)).otherwise(F.coalesce(p, F.lit(v))) for (p, q), v in zip(names, fixed.FALLBACK)})
+    return with_choice(joined, ("p_a", "p_d", "p_r"), ~gap).select(*scored.columns, "adjudication", "confidence")

@@ -61,19 +61,26 @@ def decision_path() -> Column:
     )
 
 
+def bound(values: dict[str, Column], body) -> Column:
+    """body(struct of values): a value is written once however often the body asks for it, also when filters are pushed below."""
+    return F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), body)[0]
+
+
 def with_choice(df: DataFrame, odds: tuple[str, str, str], allow_approval: Column) -> DataFrame:
-    """+ adjudication, confidence: the choice of most expected points, ties to the first; approvals only with a margin over denial.
+    """+ adjudication, confidence: the choice of most expected points, ties to the first; approvals only with a margin over denial."""
+
+    def choose(s):
+        a, d, r = s["a"], s["d"], s["r"]
+        may = s["allow"] & (s["p0"] >= fixed.APPROVAL_MARGIN * s["p1"]) & (a >= d) & (a >= r)
+        told = lambda verdict, p: F.struct(F.lit(verdict).alias("adjudication"), p.alias("confidence"))
+        return F.when(may, told(fixed.APPROVED, s["p0"])).when(d >= r, told(fixed.DENIED, s["p1"])).otherwise(told(fixed.NEEDS_REVIEW, s["p2"]))
 
-    Each step is a projection of its own, so a value that is used more than once is computed once.
-    """
-    points = [sum((F.lit(float(x)) * F.col(p) for x, p in zip(fixed.PAYOFF[o], odds)), F.lit(0.0)) for o in fixed.OUTCOMES]
-    df = df.withColumns({f"_worth_{k}": x for k, x in enumerate(points)})
-    a, d, r = (F.col(f"_worth_{k}") for k in range(3))
-    may = allow_approval & (F.col(odds[0]) >= fixed.APPROVAL_MARGIN * F.col(odds[1]))
-    df = df.withColumn("adjudication", F.when(may & (a >= d) & (a >= r), fixed.APPROVED).when(d >= r, fixed.DENIED).otherwise(fixed.NEEDS_REVIEW))
-    verdict = F.col("adjudication")
-    confidence = F.when(verdict == fixed.APPROVED, F.col(odds[0])).when(verdict == fixed.DENIED, F.col(odds[1])).otherwise(F.col(odds[2]))
-    return df.withColumn("confidence", confidence).drop("_worth_0", "_worth_1", "_worth_2")
+    def weigh(s):
+        worth = {k: sum((F.lit(float(x)) * s[f"p{i}"] for i, x in enumerate(fixed.PAYOFF[o])), F.lit(0.0)) for k, o in zip("adr", fixed.OUTCOMES)}
+        return bound({**{f"p{i}": s[f"p{i}"] for i in range(3)}, **worth, "allow": s["allow"]}, choose)
+
+    choice = bound({**{f"p{i}": F.col(p) for i, p in enumerate(odds)}, "allow": allow_approval}, weigh)
+    return df.withColumn("_choice", choice).withColumns({c: F.col(f"_choice.{c}") for c in ("adjudication", "confidence")}).drop("_choice")
 
 
 def feature_columns() -> list[Column]:
@@ -91,21 +98,14 @@ def feature_columns() -> list[Column]:
 
 
 def with_softmax(df: DataFrame, x: list[Column], mu, sigma, weights, bias, *, prefix="q") -> DataFrame:
-    """+ prefix_a, prefix_d, prefix_r: odds of a multinomial logistic model on standardised features.
-
-    Plain arithmetic on doubles, projection after projection: no array, no lambda, each value computed once.
-    """
-    names = [f"_z{i}" for i in range(len(x))]
-    df = df.withColumns({n: (c - F.lit(float(m))) / F.lit(float(s)) for n, c, m, s in zip(names, x, mu, sigma)})
+    """+ prefix_a, prefix_d, prefix_r: odds of a multinomial logistic model on standardised features. The logits are plain arithmetic on doubles."""
     logits = {}
-    for k, name in enumerate(("_la", "_ld", "_lr")):
+    for k, name in enumerate("adr"):
         logits[name] = F.lit(float(bias[k]))
-        for n, row in zip(names, weights):
-            logits[name] = logits[name] + F.col(n) * F.lit(float(row[k]))
-    df = df.withColumns(logits).drop(*names)
-    df = df.withColumn("_top", F.greatest(*logits)).withColumns({n: F.exp(F.col(n) - F.col("_top")) for n in logits})
-    df = df.withColumn("_all", F.col("_la") + F.col("_ld") + F.col("_lr"))
-    return df.withColumns({f"{prefix}{n[2:]}": F.col(n) / F.col("_all") for n in logits}).drop("_top", "_all", *logits)
+        for c, m, s, row in zip(x, mu, sigma, weights):
+            logits[name] = logits[name] + (c - F.lit(float(m))) / F.lit(float(s)) * F.lit(float(row[k]))
+    powers = lambda s: bound({k: F.exp(s[k] - F.greatest(s["a"], s["d"], s["r"])) for k in "adr"}, lambda e: F.struct(*[(e[k] / (e["a"] + e["d"] + e["r"])).alias(k) for k in "adr"]))
+    return df.withColumn("_odds", bound(logits, powers)).withColumns({f"{prefix}{k}": F.col(f"_odds.{k}") for k in "adr"}).drop("_odds")
 
 
 def missing_fields() -> Column:

@@ -86,16 +86,18 @@ def snap_flag(readings: DataFrame) -> DataFrame:
     return best.where("score <= 0.28").select("reading", F.col("entry").alias("parsed"))
 
 
-def name_vocabulary(spark) -> DataFrame:
-    """Tokens seen (tier 0), and stems with suffixes that are not among them (tier 1, lower case)."""
+def name_vocabulary(spark, names: tuple | None = None) -> DataFrame:
+    """Tokens seen (tier 0), and stems with suffixes that are not among them (tier 1, lower case); names: those of a file instead."""
+    if names is not None:
+        return vocabulary(spark, names[0]).unionByName(vocabulary(spark, names[1], 1))
     made = sorted({a + b for a in fixed.NAME_STEMS for b in fixed.NAME_SUFFIXES} - set(fixed.NAMES))
     return vocabulary(spark, fixed.NAMES).unionByName(vocabulary(spark, made, 1))
 
 
-def snap_name_token(readings: DataFrame) -> DataFrame:
+def snap_name_token(readings: DataFrame, names: tuple | None = None) -> DataFrame:
     """The first tier that holds the token: within .30 and .08 ahead of the next."""
     key = F.regexp_replace("reading", "[^A-Za-z]", "")
-    best = nearest(readings.where(F.length(key) >= 3), name_vocabulary(readings.sparkSession), key=key, entry_key=F.col("entry"))
+    best = nearest(readings.where(F.length(key) >= 3), name_vocabulary(readings.sparkSession, names), key=key, entry_key=F.col("entry"))
     fits = best.where((F.col("score") <= 0.30) & (F.col("margin").isNull() | (F.col("margin") >= 0.08)))
     return fits.groupBy("reading").agg(F.min_by("entry", "tier").alias("parsed"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fit_queries, policy_queries, policy_sql, text_queries, text_sql
+from . import fit_queries, policy_queries, policy_sql, review_queries, text_queries, text_sql
 
-_PARTS = ((policy_queries.QUERIES, policy_sql.ORACLES), (text_queries.QUERIES, text_sql.ORACLES), (fit_queries.QUERIES, fit_queries.ORACLES))
+_PARTS = ((policy_queries.QUERIES, policy_sql.ORACLES), (text_queries.QUERIES, text_sql.ORACLES), (fit_queries.QUERIES, fit_queries.ORACLES), (review_queries.QUERIES, review_queries.ORACLES))
 
 
 def flagship(spark, sf_dir):

@@ -26,7 +26,7 @@ SPONSORS = "SELECT o_orderkey AS k, o_custkey AS c, CASE o_orderkey % 5 WHEN 0 T
 DRAWINGS = "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 0.8 ELSE 0.1 END AS red, CASE WHEN l_returnflag = 'A' THEN 0.6 ELSE 0.1 END AS green, CASE WHEN l_returnflag = 'N' AND l_linenumber % 2 = 1 THEN 0.9 ELSE 0.2 END AS blue, CAST(l_quantity AS DOUBLE) AS x0, 100.0 AS y0, CAST(l_quantity AS DOUBLE) + CASE WHEN l_linenumber % 3 = 0 THEN 60.0 ELSE 20.0 END AS x1, CASE WHEN l_linenumber % 3 = 0 THEN 102.0 ELSE 120.0 END AS y1 FROM " + ITEMS
 SPANS = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN ' ' ELSE l_returnflag || CAST(l_linenumber AS STRING) END AS text, l_quantity / 5 AS size, CAST(l_partkey % 700 AS INT) AS x0, 10 AS y0, CAST(l_partkey % 700 + 40 AS INT) AS x1, 22 AS y1, CAST(l_suppkey % 2 AS INT) AS flags, CAST(l_partkey % 4 AS INT) AS render_mode, CAST(100 + l_partkey % 156 AS INT) AS alpha, CAST((l_partkey * 7919) % 16777216 AS INT) AS color FROM " + ITEMS
 VOTES = "SELECT l_orderkey, l_returnflag AS parsed, CASE CAST(l_suppkey % 5 AS INT) WHEN 0 THEN 'intake' WHEN 1 THEN 'biometric' WHEN 2 THEN 'registry' WHEN 3 THEN 'sponsor' ELSE 'unknown' END AS kind, l_linenumber AS ordinal FROM " + ITEMS
-TSV = "SELECT l_orderkey, 'level' || chr(10) || '5' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '2' || chr(9) || CAST(CAST(l_quantity AS INT) AS STRING) || chr(9) || '5' || chr(9) || '9' || chr(9) || '9' || chr(9) || CAST(CAST(l_partkey % 90 AS INT) AS STRING) || chr(9) || 'alpha' || chr(10) || '5' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '25' || chr(9) || '5' || chr(9) || '9' || chr(9) || '9' || chr(9) || '-1' || chr(9) || 'beta' || chr(10) || '5' || chr(9) || '1' || chr(9) || '2' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '7' || chr(9) || '5' || chr(9) || '9' || chr(9) || '9' || chr(9) || '60' || chr(9) || 'gamma' AS tsv FROM " + ITEMS + " WHERE l_linenumber = 1"
+TSV = "SELECT l_orderkey, l_linenumber, 'level' || chr(10) || '5' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '2' || chr(9) || CAST(CAST(l_quantity AS INT) AS STRING) || chr(9) || '5' || chr(9) || '9' || chr(9) || '9' || chr(9) || CAST(CAST(l_partkey % 90 AS INT) AS STRING) || chr(9) || 'alpha' || chr(10) || '5' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '25' || chr(9) || '5' || chr(9) || '9' || chr(9) || '9' || chr(9) || '-1' || chr(9) || 'beta' || chr(10) || '5' || chr(9) || '1' || chr(9) || '2' || chr(9) || '1' || chr(9) || '1' || chr(9) || '1' || chr(9) || '7' || chr(9) || '5' || chr(9) || '9' || chr(9) || '9' || chr(9) || '60' || chr(9) || 'gamma' AS tsv FROM " + ITEMS
 ATTEMPTS = "SELECT CAST(l_orderkey AS STRING) AS case_id, 1 AS page_no, l_linenumber AS attempt, CASE l_returnflag WHEN 'R' THEN 'VISA CLASS' WHEN 'A' THEN 'VISA APPLICANT SPONSOR' ELSE 'noise' END AS text, l_quantity AS confidence, CASE WHEN l_linenumber > 5 THEN 90 ELSE 0 END AS rotation FROM " + ITEMS
 _WORDS = [("Fee", 10, 100), ("Stafus", 40, 101), ("paid", 80, 102), ("now", 110, 102), ("Visa", 10, 200), ("Class", 40, 209), ("Home", 10, 300), ("World", 45, 300), ("Luyten-b", 90, 301), ("far", 600, 300)]
 WORDS = "SELECT o_orderkey AS k, 1 AS page_no, w.word_no, w.text, CAST(w.x0 + o_orderkey % 7 AS DOUBLE) AS x0, CAST(w.y0 AS DOUBLE) AS y0, CAST(w.x0 + 25 + o_orderkey % 7 AS DOUBLE) AS x1, CAST(w.y0 + 8 AS DOUBLE) AS y1 FROM orders CROSS JOIN (VALUES " + ", ".join(f"({i}, '{t}', {x}, {y})" for i, (t, x, y) in enumerate(_WORDS)) + ") AS w(word_no, text, x0, y0)"
@@ -40,7 +40,21 @@ def given(pairs, *names) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(f'CAST({literal(x)} AS VARCHAR)' for x in row) + ')' for row in pairs)}) t({', '.join(names)})"
 
 
-SEEN = f"WITH {CASES}, v AS (SELECT * FROM cases WHERE k % 5 <> 3)"
+SEEN = f"WITH {CASES}, v AS (SELECT * FROM cases)"
+
+
+def worn(column: str) -> str:
+    return f"CASE WHEN k % 5 = 1 THEN translate({column}, 'OS', '05') ELSE {column} END"
+
+
+#: The three pages of a case as the fixture writes them, without the lines that instruct.
+PAGE_TEXTS = (
+    f"concat_ws(chr(10), 'PRIMARY INTAKE RECORD', 'Applicant Name' || chr(10) || applicant_name, 'Species Code: ' || {worn('species_code')}, 'Home World: ' || home_world, 'Visa Class: ' || visa_class, CASE WHEN k % 5 = 2 THEN 'Sponser ID: ' ELSE 'Sponsor ID: ' END || translate(sponsor_id, '0', 'O'), 'Arrival Date: ' || arrival_date, 'Declared Purpose: ' || {worn('declared_purpose')})",
+    "concat_ws(chr(10), 'FEE RECEIPT', 'Fee Status: ' || fee_status, 'RECEIVED: ' || receipt_date, 'Registry Status: ' || registry_status)",
+    f"concat_ws(chr(10), 'BIOMETRIC SLIP', 'Observed flags: ' || {SORTED_FLAGS}, 'FINDING: ' || manual_finding)",
+)
+PAGES = "p AS (" + " UNION ALL ".join(f"SELECT case_id, {n}::BIGINT AS page_no, {t} AS t FROM v" for n, t in enumerate(PAGE_TEXTS, 1)) + ")"
+_LABELLED = {"species_code": worn("species_code"), "home_world": "home_world", "visa_class": "visa_class", "sponsor_id": "replace(sponsor_id, '0', 'O')", "arrival_date": "arrival_date", "declared_purpose": worn("declared_purpose"), "applicant_name": "applicant_name", "fee_status": "fee_status", "risk_flags": SORTED_FLAGS}
 _ANCHORS = " + ".join(f"contains(t, '{a}')::BIGINT" for a in fixed.ANCHORS)
 BODY = "regexp_replace(text, '(?i)Packet\\s+MIB-\\d+.*|Synthetic hiring.*', '', 'g')"
 _KIND = "CASE " + " ".join(f"WHEN {' OR '.join('(' + ' AND '.join(f'contains(t, {literal(w)})' for w in ws) + ')' for ws in ways)} THEN '{kind}'" for kind, ways in fixed.PAGE_CLASSES) + " ELSE 'unknown' END"
@@ -52,9 +66,9 @@ _CONTRAST = "(255 - (0.2126::DOUBLE * ((color >> 16) & 255) + 0.7152::DOUBLE * (
 VISIBLE = f"(trim(text) <> '' AND size >= 4.5 AND {_OVERLAP} >= 0.75 * greatest(1, (x1 - x0) * (y1 - y0)) AND {_OVERLAP} > 0 AND NOT (flags <> 0 AND render_mode = 3) AND {_CONTRAST} >= 28)"
 
 
-def votes(ranks) -> str:
+def votes(ranks, order="-n, -authority") -> str:
     rank = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ranks.items()) + " END"
-    return f"SELECT case_id, arg_min(parsed, (-n, -authority, first)) AS value FROM (SELECT CAST(l_orderkey AS VARCHAR) AS case_id, parsed, count(*) AS n, max({rank}) AS authority, min(ordinal) AS first FROM ({VOTES}) v GROUP BY 1, 2) c GROUP BY 1"
+    return f"SELECT case_id, arg_min(parsed, ({order}, first)) AS value FROM (SELECT CAST(l_orderkey AS VARCHAR) AS case_id, parsed, count(*) AS n, max({rank}) AS authority, min(ordinal) AS first FROM ({VOTES}) v GROUP BY 1, 2) c GROUP BY 1"
 
 
 _DATE = "CASE k % 6 WHEN 0 THEN substr(written, 4, 10) WHEN 1 THEN '2026-04-17' WHEN 2 THEN '2026-04-17' WHEN 5 THEN '1999-09-05' END"
@@ -71,11 +85,11 @@ SELECT case_id, arg_max(attempt, i)::BIGINT AS attempt, round(arg_max(score, i),
 ORACLES = {
     "page_class": f"{SEEN} SELECT case_id, p AS page_no, CASE p WHEN 1 THEN 'intake' WHEN 2 THEN 'fee' ELSE CASE WHEN manual_finding IS NOT NULL THEN 'manual' ELSE 'biometric' END END AS kind FROM v, (VALUES (1::BIGINT), (2), (3)) t(p)",
     "anchor_score": f"SELECT doc_id, {_ANCHORS} AS anchors, round(50 + 14.0 * ({_ANCHORS}) + least(18.0, length({BODY}) / 30.0), 6) AS score FROM (SELECT *, regexp_replace(upper({BODY}), '[^A-Z ]+', ' ', 'g') AS t FROM documents) d",
-    "scrub_lines": f"{SEEN} SELECT case_id, 3::BIGINT AS page_no, concat_ws(chr(10), 'BIOMETRIC SLIP', 'Observed flags: ' || {SORTED_FLAGS}, 'FINDING: ' || manual_finding) AS visible_native FROM v WHERE injection_detected",
+    "scrub_lines": f"{SEEN}, {PAGES} SELECT case_id, page_no, t AS visible_native FROM p",
     "injection_flag": "SELECT doc_id, doc_id % 7 = 0 AS seen FROM documents",
-    "manual_finding": f"{SEEN} SELECT case_id, manual_finding AS finding FROM v",
+    "manual_finding": f"{SEEN} SELECT case_id, p AS page_no, CASE WHEN p = 3 THEN manual_finding END AS finding FROM v, (VALUES (1::BIGINT), (2), (3)) t(p)",
     "damage_tags": f"SELECT k, {_SPLIT_FIELDS} AS fields FROM ({TAGS}) t",
-    "registry_status": f"{SEEN} SELECT case_id, registry_status AS status FROM v",
+    "registry_status": f"{SEEN} SELECT case_id, p AS page_no, CASE WHEN p = 2 THEN registry_status END AS status FROM v, (VALUES (1::BIGINT), (2), (3)) t(p)",
     "receipt_fee": f"SELECT k, CASE k % 5 WHEN 0 THEN 'paid' WHEN 1 THEN 'waived' END AS fee, CASE k % 5 WHEN 2 THEN '2026-04-17' END AS received, k % 5 IN (1, 4) AS waiver FROM ({RECEIPTS}) t",
     "corrections": f"SELECT k, CASE k % 4 WHEN 0 THEN 'MED-3' END AS visa_class, CASE k % 4 WHEN 1 THEN 'waived' END AS fee_status, CASE k % 4 WHEN 2 THEN 'SPN-1042' END AS sponsor_id FROM ({NOTES}) t",
     "parse_date": f"SELECT k, {_DATE} AS parsed FROM ({DATES}) t",
@@ -90,15 +104,17 @@ ORACLES = {
     "snap_flag": given(FLAG_READINGS, "reading", "parsed"),
     "snap_name": given(NAME_READINGS, "reading", "parsed"),
     "split_fused": given(FUSED, "reading", "field", "value"),
-    "label_values": f"{SEEN} SELECT case_id, 'home_world' AS field, home_world AS value FROM v WHERE home_world IS NOT NULL UNION ALL SELECT case_id, 'sponsor_id', replace(sponsor_id, '0', 'O') FROM v WHERE sponsor_id IS NOT NULL",
+    "label_values": f"{SEEN} " + " UNION ALL ".join(f"SELECT case_id, '{f}' AS field, {x} AS value FROM v WHERE {f if f != 'risk_flags' else 'case_id'} IS NOT NULL" for f, x in _LABELLED.items())
+    + " UNION ALL SELECT case_id, 'arrival_date', split_part(applicant_name, ' ', 2) FROM v WHERE applicant_name LIKE 'Ariul %'",  # near enough to ARRIVAL to be a label
     "next_line_value": f"{SEEN} SELECT case_id, applicant_name AS value FROM v WHERE applicant_name IS NOT NULL",
     "consensus": votes(fixed.PAGE_RANK),
     "consensus_identity": votes(fixed.IDENTITY_RANK),
+    "consensus_authority": votes(fixed.PAGE_RANK, "-authority, -n"),
     "first_parsed": f"SELECT CAST(l_orderkey AS VARCHAR) AS case_id, arg_min(parsed, ordinal) AS value FROM ({VOTES}) v WHERE kind <> 'unknown' GROUP BY 1",
     "evidence": f"{SEEN} SELECT case_id, applicant_name, species_code, home_world, visa_class, sponsor_id, arrival_date, declared_purpose, fee_status, {SORTED_FLAGS} AS risk_flags, receipt_date, registry_status, manual_finding, true AS risk_flags_known, injection_detected, 3::INTEGER AS pages FROM v",
     "span_visible": f"SELECT l_orderkey, l_linenumber, {VISIBLE} AS visible FROM ({SPANS}) s",
     "native_text": f"WITH s AS (SELECT l_orderkey AS case_id, l_linenumber % 2 AS line_no, l_linenumber, trim(text) AS t, {VISIBLE} AS v FROM ({SPANS}) x WHERE trim(text) <> ''), l AS (SELECT case_id, line_no, string_agg(t, ' ' ORDER BY l_linenumber) FILTER (v) AS v, string_agg(t, ' ' ORDER BY l_linenumber) FILTER (NOT v) AS h FROM s GROUP BY 1, 2) SELECT case_id, coalesce(string_agg(v, chr(10) ORDER BY line_no), '') AS visible, coalesce(string_agg(h, chr(10) ORDER BY line_no), '') AS hidden FROM l GROUP BY 1",
-    "tsv_lines": "SELECT l_orderkey AS case_id, CASE WHEN l_quantity::INT < 25 OR l_quantity::INT = 25 THEN 'alpha beta' ELSE 'beta alpha' END || chr(10) || 'gamma' AS text, round((l_partkey % 90 + 60) / 2.0, 6) AS confidence FROM " + ITEMS + " WHERE l_linenumber = 1",
+    "tsv_lines": "SELECT l_orderkey AS case_id, l_linenumber::BIGINT AS page_no, CASE WHEN l_quantity::INT < 25 OR l_quantity::INT = 25 THEN 'alpha beta' ELSE 'beta alpha' END || chr(10) || 'gamma' AS text, round((l_partkey % 90 + 60) / 2.0, 6) AS confidence FROM " + ITEMS,
     "ocr_best_attempt": LADDER,
     "recognizer_lines": "SELECT l_orderkey AS case_id, string_agg(l_returnflag, chr(10) ORDER BY l_linenumber) AS rapid_text FROM " + ITEMS + " WHERE l_discount * 10 > 0.4 GROUP BY 1",
     "marks": f"WITH {MARKS} SELECT case_id, mark_no, ink, verdict, is_strike FROM m",

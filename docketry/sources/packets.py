@@ -14,7 +14,7 @@ PAGES = "case_id string, page_no int, visible_native string, hidden string, ocr_
 
 
 def scan_packets(spark: SparkSession, path: str) -> DataFrame:
-    """(path, case_id, content) of the *.pdf files of a directory, not of those below it."""
+    """(path, case_id, content) of the *.pdf files of a directory, not of those below it. Rows have no order: what needs one sorts by path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "false").load(path)
     return files.select("path", F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("case_id"), "content")
 

@@ -71,6 +71,22 @@ def load_priors(spark: SparkSession, path: str) -> dict[str, str]:
         return {}
 
 
+def load_names(spark: SparkSession, path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(seen, generated but never seen) name tokens, each sorted; empty if the file is missing or malformed."""
+    try:
+        found = read_json(spark, path)
+        seen = set(found.get("observed_tokens", ()))
+        return tuple(sorted(seen)), tuple(sorted(set(found.get("generated", ())) - seen))
+    except Exception:  # noqa: BLE001 - soft by contract
+        return (), ()
+
+
+def write_manifest(rows: DataFrame, path: str, *, limit: int | None = None) -> None:
+    """A reviewer's list as CSV with a header, in the order of all its columns; `limit` rows where that is asked for."""
+    ordered = rows.orderBy(*rows.columns)
+    (ordered.limit(limit) if limit is not None else ordered).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_predictions(rows: DataFrame, path: str) -> None:
     """JSON lines, all or nothing by the commit protocol; no rows make an empty output."""
     rows.write.mode("overwrite").json(path)

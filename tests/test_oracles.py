@@ -7,7 +7,6 @@ from docketry.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"evidence", "snap_name", "oof_score", "score_summary", "guardrail", "confusion_matrix", "calibration_provisional"}
 
 
 def rows(columns, values):
@@ -16,7 +15,7 @@ def rows(columns, values):
     return sorted(str([clean(row[i]) for i in order]) for row in values)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_equals_oracle(spark, name):
     found = catalog.queries()[name](spark, SF)
     con = duckdb.connect()
