@@ -178,8 +178,9 @@ def probes(fps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
 
 
 def apart(own: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Differing bits of rows of 64-bit words. Of signed words numpy counts the bits of the absolute value."""
-    return np.bitwise_count((own ^ others).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+    """Differing bits of rows of 64-bit words, three words at most. Of signed words numpy counts the bits of the absolute value."""
+    words = [np.bitwise_count((own[..., k] ^ others[..., k]).view(np.uint64)) for k in range(own.shape[-1])]
+    return sum(words[1:], words[0])
 
 
 def close_ones(bits: np.ndarray, radius: int) -> np.ndarray:
