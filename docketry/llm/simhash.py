@@ -13,7 +13,11 @@ Links by similarity (`similar_components`): texts whose sets of shingles have a
 some 15 % of the bits, too many for a guarantee by counting bits. There the fingerprint is longer, and the dynamic
 programme gives the parts' thresholds so that a pair at the similarity asked for is within them in some part with
 the recall asked for, at the least estimated cost; the more texts, the wider the parts and the more of them. Rows
-that meet are compared on CHECK further bits, and what passes is decided by the sets themselves.
+that meet are compared on CHECK further bits, and what passes is decided by the sets themselves. A forest's link may
+be refused there, so texts still in different components after that meet once more, pair by pair. These pairs must
+also agree in their numbers of shingles (a bound that loses nothing) and on SKETCH further words of bits; how many
+may differ follows from the sizes, for small sets by the exact odds. What is left to the texts are pairs close to
+the similarity asked for, not all of a crowd of loosely similar texts.
 
 Fewer words than a shingle: the whole sequence is one shingle. No words, empty or null text: fingerprint
 zero, linked like any other. Rows that repeat are classed like equal texts; a null id is kept and is never a
@@ -39,6 +43,8 @@ ROW_COST, CANDIDATE_COST = 1.0, 1 / 500
 BLOCK = 2048
 #: Bits that rows under one key are compared on before their texts are, and how many of them may differ.
 CHECK, CHECK_RADIUS = 128, 36
+#: Words of 64 bits that pairs of different components are compared on, and the standard deviations granted to the bits that differ.
+SKETCH, SLACK = 16, 3.5
 
 
 def simhash_bytes(text: str | None, shingle: int = 4, seed: int = 42) -> bytes:
@@ -212,32 +218,49 @@ def forest(nodes: np.ndarray, bits: np.ndarray, radius: int) -> list[tuple[int,
     return out
 
 
-def across(nodes: np.ndarray, bits: np.ndarray, radius: int, roots: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs within the radius that are of different roots."""
+def across(nodes: np.ndarray, bits: np.ndarray, radius: int, more: np.ndarray, similarity: float, allowed: np.ndarray) -> list[tuple[int, int]]:
+    """All pairs within the radius that are of different roots and may be as similar as asked; `more` holds root, size and sketch."""
     out: list[tuple[int, int]] = []
     for at in range(0, len(nodes), 256):
-        near = (apart(bits[at : at + 256, None], bits[None, :]) <= radius) & (roots[at : at + 256, None] != roots[None, :])
+        near = (apart(bits[at : at + 256, None], bits[None, :]) <= radius) & (more[at : at + 256, None, 0] != more[None, :, 0])
         i, j = np.nonzero(near)
-        keep = at + i < j
-        out += zip(nodes[at + i[keep]].tolist(), nodes[j[keep]].tolist())
+        i = i + at
+        keep = i < j
+        i, j = i[keep], j[keep]
+        keep = may_link(more, i, j, similarity, allowed)
+        out += zip(nodes[i[keep]].tolist(), nodes[j[keep]].tolist())
     return out
 
 
-def link_groups(rows: DataFrame, radius: int, *, node="fp", checks=("fp",), root: str | None = None) -> DataFrame:
+def may_link(more: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, allowed: np.ndarray) -> np.ndarray:
+    """Which of the pairs i, j of rows (root, size, sketch) their sizes and sketches leave open; `allowed` has the differing bits by the larger size."""
+    sizes = more[:, 1]
+    low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    open_ = low >= high * similarity - 1e-9
+    for at in range(0, len(i), 16_384):  # in slices: a crowd's sketches are not all copied at once
+        own = np.flatnonzero(open_[at : at + 16_384]) + at
+        differ = np.bitwise_count((more[i[own], 2:] ^ more[j[own], 2:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        open_[own] = differ <= allowed[np.minimum(high[own], len(allowed) - 1)]
+    return open_
+
+
+def link_groups(rows: DataFrame, radius: int, *, node="fp", checks=("fp",), more=(), similarity: float = 0.8) -> DataFrame:
     """rows (key, node, checks...) -> (a, b): links found among the rows that share a key; crowded keys are compared block by block.
 
-    Without `root` a spanning forest of a group's links, with it all of them between different roots.
+    Without `more` a spanning forest of a group's links. With it (columns of root, size and sketch) all links between
+    different roots whose sizes and sketches leave the similarity open.
     """
     crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     crowded = crowded.select("key", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("blocks"))
     rows = rows.join(crowded, "key", "left")
     own = F.pmod(F.xxhash64(F.lit(7), node), F.coalesce("blocks", F.lit(1))).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col(node).alias("node"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(checks)], *([F.col(root).alias("root")] if root else []))
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col(node).alias("node"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(checks)], *more)
     width = len(checks)
+    allowed = allowances(similarity) if more else None
 
     def run(batches):
-        held = np.empty((0, width + 2 + bool(root)), dtype=np.int64)
+        held = np.empty((0, 2 + width + len(more)), dtype=np.int64)
 
         def compare(table):
             if not len(table):
@@ -249,14 +272,15 @@ def link_groups(rows: DataFrame, radius: int, *, node="fp", checks=("fp",), root
             two = cuts[:-1][sizes == 2]
             a, b = table[two], table[two + 1]
             near = (apart(a[:, 2 : 2 + width], b[:, 2 : 2 + width]) <= radius) & (a[:, 1] != b[:, 1])
-            if root:
-                near &= a[:, -1] != b[:, -1]
+            if more:
+                near &= a[:, 2 + width] != b[:, 2 + width]
+                near[near] = may_link(table[:, 2 + width :], two[near], two[near] + 1, similarity, allowed)
             links += zip(a[near, 1].tolist(), b[near, 1].tolist())
             for at, size in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 own = table[at : at + size]
                 own = own[np.unique(own[:, 1], return_index=True)[1]]
                 bits = own[:, 2 : 2 + width]
-                links += across(own[:, 1], bits, radius, own[:, -1]) if root else forest(own[:, 1], bits, radius)
+                links += across(own[:, 1], bits, radius, own[:, 2 + width :], similarity, allowed) if more else forest(own[:, 1], bits, radius)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
@@ -333,6 +357,37 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.01
 
 
+def worst_odds(n: int, similarity: float) -> float:
+    """Highest odds that a bit differs between a set of n and a smaller one so similar: bits are majorities of fair signs, a tie is 0."""
+
+    def sums(k: int) -> np.ndarray:
+        return np.array([math.comb(k, u) for u in range(k + 1)], dtype=float) / 2.0**k
+
+    def above(k: int, s: np.ndarray) -> np.ndarray:
+        return np.array([sums(k)[max(0, (k - x) // 2 + 1) :].sum() for x in s.tolist()])  # u of k signs are up: s + 2 u - k > 0
+
+    worst = 0.0
+    for a in range(n):
+        common = n - a
+        most = min(a, math.floor(common / similarity - common + 1e-9) - a)
+        if most < 0:
+            break
+        s, p = np.arange(-common, common + 1, 2), sums(common)
+        one = above(a, s)
+        for b in {most, max(0, most - 1)}:
+            other = above(b, s)
+            worst = max(worst, float((p * (one * (1 - other) + other * (1 - one))).sum()))
+    return worst
+
+
+def allowances(similarity: float, exact: int = 64) -> np.ndarray:
+    """Differing bits of a sketch that a pair may have, by the size of its larger set; the odds fall with the size, larger sets have the last sizes' peak."""
+    width = SKETCH * 64
+    odds = np.array([worst_odds(n, similarity) for n in range(exact + 1)])
+    odds[-1] = odds[-exact // 2 :].max()
+    return np.ceil(width * odds + SLACK * np.sqrt(width * odds * (1 - odds))).astype(np.int64)
+
+
 def within(width: int, threshold: int, p: float) -> float:
     return sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(threshold + 1))
 
@@ -390,6 +445,20 @@ def long_probes(nodes: DataFrame, plan: list[tuple[list[int], int]], width: int)
     return nodes.select("node", "fp").mapInArrow(run, "key long, node long, c0 long, c1 long")
 
 
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts (node, text) -> (node, size, s0, s1, ...): the number of a text's shingles and SKETCH words of bits."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
+            raw = b"".join(long_fingerprint(own ^ MIX2, SKETCH) for own in sets)  # other bits than those that made the pairs meet
+            words = np.frombuffer(raw, dtype=np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(own) for own in sets], pa.int64()), *map(pa.array, words.T.copy())], names)
+
+    names = ["node", "size", *[f"s{k}" for k in range(SKETCH)]]
+    return texts.select("node", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
 def linked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """pairs (a, b) of nodes -> those whose sets are as similar as asked."""
 
@@ -442,10 +511,12 @@ def similar_classes(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     roots = materialize(connected_components(links), "roots")
     # what the forests' failed links may have kept apart is decided pair by pair
     named = met.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    rest = link_groups(rows.join(named.hint("merge"), "node"), CHECK_RADIUS, node="node", checks=("c0", "c1"), root="root")
+    sketched = named.join(sketches(texts, shingle).hint("merge"), "node")
+    more = ("root", *[c for c in sketched.columns if c not in ("node", "root")])
+    rest = link_groups(rows.join(sketched.hint("merge"), "node"), CHECK_RADIUS, node="node", checks=("c0", "c1"), more=more, similarity=similarity)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    more = linked(materialize(rest, "pairs"), texts, shingle, similarity)
-    roots = connected_components(links.unionByName(more))
+    late = linked(materialize(rest, "pairs"), texts, shingle, similarity)
+    roots = connected_components(links.unionByName(late))
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select("id", "node"), named.join(component, "root")

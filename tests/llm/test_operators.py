@@ -596,3 +596,46 @@ def test_pipeline(spark):
     placed = c.STAGES[-1][1](spark, kept, SF)
     assert placed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
     assert placed.groupBy("doc_id").count().count() == kept.select("doc_id").distinct().count()
+
+
+def test_sketches_lose_no_similar_pair():
+    rng = np.random.default_rng(11)
+    for n, a, b in ((5, 1, 0), (23, 3, 2)):  # the odds are those of signs drawn at random
+        signs = rng.choice([-1, 1], size=(200_000, n + b))
+        one, other = signs[:, :n].sum(axis=1) > 0, signs[:, a:].sum(axis=1) > 0
+        assert abs((one != other).mean() - simhash.worst_odds(n, 0.8)) < 0.005
+    allowed, lost, refused = simhash.allowances(0.8), 0, 0
+    for k in range(1500):
+        n = int(rng.integers(5, 300))
+        a = int(rng.integers(0, n // 5 + 1))
+        b = min(a, int((n - a) / 0.8 - (n - a) + 1e-9) - a)
+        hashes = rng.integers(0, 1 << 63, n + n, dtype=np.uint64)
+        for similar, other in ((True, hashes[a : n + b]), (False, hashes[n // 3 : n + n // 3])):
+            sets = [np.unique(hashes[:n]), np.unique(other)]
+            rows = [[i, len(s), *np.frombuffer(simhash.long_fingerprint(s ^ simhash.MIX2, simhash.SKETCH), dtype=np.int64)] for i, s in enumerate(sets)]
+            is_open = simhash.may_link(np.array(rows, dtype=np.int64), np.array([0]), np.array([1]), 0.8, allowed)[0]
+            lost, refused = lost + (similar and not is_open), refused + (not similar and not is_open)
+    assert lost <= 3 and refused > 1490  # a similarity of 0.8 exactly; of 0.5
+
+
+def test_similar_in_a_crowd_of_loose_copies(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for k in range(160):  # copies of one text with many edits: few of them are 0.8 alike
+        copy = list(base)
+        for i in rng.integers(0, len(base), 4 + k % 5):
+            copy[i] = f"e{rng.integers(1 << 30)}"
+        texts.append(" ".join(copy))
+    for k in range(0, 40, 4):
+        texts.append(texts[k] + " more")
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if plain_jaccard(texts[i], texts[j]) >= 0.8]
+    compared, plain = [], simhash.linked
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "linked", counted)
+    got = {r["id"]: r["component_id"] for r in simhash.similar_components(docs(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == components(len(texts), links)
+    assert sum(compared) < len(texts) * (len(texts) - 1) / 2 / 5
