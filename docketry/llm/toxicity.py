@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -166,30 +167,42 @@ def sparse(token: str) -> dict[int, float]:
     return {c: x / norm for c, x in out.items()} if norm else {}
 
 
-def kernel_matrix(a: list[dict], b: list[dict]) -> np.ndarray:
+def kernel_matrix(a: Sequence[str], b: list[dict], turn: np.ndarray | None = None) -> np.ndarray:
+    """Kernels of tokens with the landmarks b, turned by a matrix, and a last column of ones. Only b's weights and the result are held."""
     codes = {c: i for i, c in enumerate(sorted({c for x in b for c in x}))}
     dense = np.zeros((len(b), len(codes)))
     for i, x in enumerate(b):
         for c, v in x.items():
             dense[i, codes[c]] = v
-    out = np.zeros((len(a), len(b)))
-    for i, x in enumerate(a):
-        own = [(codes[c], v) for c, v in x.items() if c in codes]
+    out = np.zeros((len(a), len(b) + 1))
+    out[:, -1] = 1
+    for i, token in enumerate(a):
+        own = [(codes[c], v) for c, v in sparse(token).items() if c in codes]
         if own:
             at, v = zip(*own)
-            out[i] = dense[:, list(at)] @ np.array(v)
+            out[i, :-1] = dense[:, list(at)] @ np.array(v)
+    if turn is not None:
+        for part in slices(len(out)):
+            out[part, :-1] = out[part, :-1] @ turn
     return out
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, c: float = 20.0, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Newton steps on the primal; few columns, so each step is a small linear system."""
-    z = np.hstack((x, np.ones((len(x), 1))))
+def slices(n: int, size: int = 2048) -> list[slice]:
+    return [slice(a, a + size) for a in range(0, n, size)]
+
+
+def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, c: float = 20.0, rounds: int = 12) -> tuple[np.ndarray, float]:
+    """Newton steps on the primal; few columns, the last of ones, so each step is a small linear system, summed up slice by slice."""
     w = np.zeros(z.shape[1])
-    ridge = np.append(np.ones(x.shape[1]), 1e-3)
+    ridge = np.append(np.ones(z.shape[1] - 1), 1e-3)
     for _ in range(rounds):
-        inside = y * (z @ w) < 1
-        zi, ci = z[inside], c * cost[inside]
-        new = np.linalg.solve(np.diag(ridge) + zi.T @ (zi * ci[:, None]), zi.T @ (ci * y[inside]))
+        inside = np.flatnonzero(y * (z @ w) < 1)
+        left, right = np.diag(ridge), np.zeros(len(w))
+        for part in slices(len(inside)):
+            at = inside[part]
+            zi, ci = z[at], c * cost[at]
+            left, right = left + zi.T @ (zi * ci[:, None]), right + zi.T @ (ci * y[at])
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -198,11 +211,12 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, c: float = 20.
 
 def fit_machine(positives: list[str], negatives: list[str], landmarks: list[str]) -> tuple[np.ndarray, float]:
     """Nystrom features of the tokens, a linear machine on them, folded into weights of triples."""
-    marks = [m for m in map(sparse, landmarks) if m]
-    both = kernel_matrix(marks, marks)
+    told = [(t, m) for t in landmarks if (m := sparse(t))]
+    marks = [m for _, m in told]
+    both = kernel_matrix([t for t, _ in told], marks)[:, :-1]
     values, vectors = np.linalg.eigh(both + 1e-6 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    x = kernel_matrix([sparse(t) for t in positives + negatives], marks) @ root
+    x = kernel_matrix(positives + negatives, marks, root)
     y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
     cost = np.where(y > 0, len(y) / (2 * max(1, len(positives))), len(y) / (2 * max(1, len(negatives)))) / len(y) * 2000
     w, bias = squared_hinge(x, y, np.where(y > 0, cost, 3 * cost) * 5)
@@ -224,18 +238,19 @@ def witnesses(docs: list[tuple[set[str], int]], odds: float = 1e-4) -> tuple[lis
 
     Documents are counted once for each group of near copies (equal three least token hashes), so a copied text is no evidence of itself.
     """
-    groups: dict[tuple, tuple[set[str], list[int]]] = {}
+    groups: dict[tuple, list] = {}
     for tokens, label in docs:
         long = [zlib.crc32(t.encode()) for t in tokens if len(t) >= 6]
-        own, labels = groups.setdefault(tuple(sorted(long)[:3]) or (-len(groups),), (set(), []))
-        labels.append(label)
-        own |= tokens
+        group = groups.setdefault(tuple(sorted(long)[:3]) or (-len(groups),), [tokens, []])
+        group[0] = tokens if group[0] is tokens else group[0] | tokens
+        group[1].append(label)
     merged = [(t, sum(v) * 2 > len(v)) for t, v in groups.values()]
     n1 = sum(label for _, label in merged)
     n0 = len(merged) - n1
     if not n1 or not n0:
         return [], []
-    in1, in0 = Counter(t for own, label in merged if label for t in own), Counter(t for own, label in merged if not label for t in own)
+    in1 = Counter(t for own, label in merged if label for t in own)
+    in0 = Counter(t for own, label in merged if not label for t in own if t in in1)  # the others' tokens tell nothing
 
     def telling(token: str) -> float:
         a, b = in1[token], in0[token]
@@ -263,6 +278,7 @@ def train(rows: list[tuple[str, int]], *, landmarks: int = 256, rounds: int = 3,
     flat = Machine(np.zeros(ALPHABET**3, dtype=np.float32), FLOOR, [0.0, 0.0, math.log(max(share, 1e-9) / max(1 - share, 1e-9))])
     pool: dict[str, str] = {}
     docs = [([pool.setdefault(t, t) for w in tokens_of(text) for t in (trimmed(w),)], int(y)) for text, y in rows]
+    pool.clear()
 
     def machine(own):
         own = [(set(tokens) - {""}, y) for tokens, y in own]
