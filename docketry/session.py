@@ -34,10 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 _SHIPPED: set[str] = set()
+#: Batches for Python are bounded in bytes: rows of whole texts may be long. A session's own setting stands.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the session's Python workers, once: they need not find it on a path of their own."""
+    """Sends this package to the session's Python workers, once: they need not find it on a path of their own. Bounds their batches."""
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
