@@ -21,11 +21,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .common import WORD, chunks, materialize
 from .hashing import Tokens, runs_of
@@ -215,9 +214,23 @@ def cut(text: str, runs: list[tuple[int, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
-@F.pandas_udf(StringType())
-def cut_words(texts: pd.Series, runs: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else cut(t, [(r["first"], r["last"]) for r in own]) for t, own in zip(texts, runs)], dtype=object)
+def cut_words(rows: DataFrame, text_col: str) -> DataFrame:
+    """rows without their last column, runs of words: where it isn't null, they are cut out of the text."""
+    names = rows.columns[:-1]
+    place = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            columns, runs = batch.columns[:-1], batch.column(len(names))
+            some = runs.is_valid()
+            at = np.flatnonzero(some.to_numpy(zero_copy_only=False)).tolist()
+            if at:
+                texts = columns[place]
+                shorter = [cut(texts[i].as_py(), [(r["first"], r["last"]) for r in runs[i].as_py()]) for i in at]
+                columns[place] = pc.replace_with_mask(texts, some, pa.array(shorter, texts.type))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(run, rows.drop(rows.columns[-1]).schema)
 
 
 def _matched(rows: DataFrame, runs: DataFrame, id_col, text_hash, min_words: int) -> DataFrame:
@@ -232,10 +245,9 @@ def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", min_words=
     _, runs = repeated_runs(docs, id_col=id_col, text_col=text_col, min_words=min_words)
     joined = _matched(docs, runs, docs[id_col], F.xxhash64(docs[text_col]), min_words)
     cut_here = F.col("__dk_runs").isNotNull() & ~F.col("__dk_copy")
-    shorter = cut_words(F.when(cut_here, F.col(text_col)), F.when(cut_here, F.col("__dk_runs")))
     long = F.regexp_count(F.col(text_col), F.lit(WORD)) >= min_words
-    text = F.when(F.col("__dk_copy") & long, F.lit("")).when(cut_here, shorter).otherwise(F.col(text_col))
-    return joined.withColumn("__dk_text", text).drop(text_col).withColumnRenamed("__dk_text", text_col).select(*docs.columns)
+    text = F.when(F.col("__dk_copy") & long, F.lit("")).otherwise(F.col(text_col).cast("string"))
+    return cut_words(joined.withColumn(text_col, text).select(*docs.columns, F.when(cut_here, F.col("__dk_runs")).alias("__dk_cut")), text_col)
 
 
 def line_report(docs: DataFrame, *, id_col="doc_id", text_col="text", min_words=50) -> DataFrame:
