@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -167,23 +167,30 @@ def sparse(token: str) -> dict[int, float]:
     return {c: x / norm for c, x in out.items()} if norm else {}
 
 
-def kernel_matrix(a: Sequence[str], b: list[dict], turn: np.ndarray | None = None) -> np.ndarray:
-    """Kernels of tokens with the landmarks b, turned by a matrix, and a last column of ones. Only b's weights and the result are held."""
+def kernel_rows(a: Iterable[dict], b: list[dict]) -> Iterator[np.ndarray]:
+    """Kernels of each of a with all of b; a may come one by one."""
     codes = {c: i for i, c in enumerate(sorted({c for x in b for c in x}))}
     dense = np.zeros((len(b), len(codes)))
     for i, x in enumerate(b):
         for c, v in x.items():
             dense[i, codes[c]] = v
-    out = np.zeros((len(a), len(b) + 1))
-    out[:, -1] = 1
-    for i, token in enumerate(a):
-        own = [(codes[c], v) for c, v in sparse(token).items() if c in codes]
-        if own:
-            at, v = zip(*own)
-            out[i, :-1] = dense[:, list(at)] @ np.array(v)
-    if turn is not None:
-        for part in slices(len(out)):
-            out[part, :-1] = out[part, :-1] @ turn
+    for x in a:
+        own = [(codes[c], v) for c, v in x.items() if c in codes]
+        at, v = zip(*own) if own else ((), ())
+        yield dense[:, list(at)] @ np.array(v) if own else np.zeros(len(b))
+
+
+def kernel_matrix(a: list[dict], b: list[dict]) -> np.ndarray:
+    return np.array(list(kernel_rows(a, b))).reshape(-1, len(b))
+
+
+def features(tokens: list[str], marks: list[dict], turn: np.ndarray) -> np.ndarray:
+    """Kernels of tokens with the landmarks, turned, and a last column of ones. One token's triples are held at a time."""
+    out = np.ones((len(tokens), len(marks) + 1))
+    for i, row in enumerate(kernel_rows(map(sparse, tokens), marks)):
+        out[i, :-1] = row
+    for part in slices(len(out)):
+        out[part, :-1] = out[part, :-1] @ turn
     return out
 
 
@@ -211,12 +218,11 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, c: float = 20.
 
 def fit_machine(positives: list[str], negatives: list[str], landmarks: list[str]) -> tuple[np.ndarray, float]:
     """Nystrom features of the tokens, a linear machine on them, folded into weights of triples."""
-    told = [(t, m) for t in landmarks if (m := sparse(t))]
-    marks = [m for _, m in told]
-    both = kernel_matrix([t for t, _ in told], marks)[:, :-1]
+    marks = [m for m in map(sparse, landmarks) if m]
+    both = kernel_matrix(marks, marks)
     values, vectors = np.linalg.eigh(both + 1e-6 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    x = kernel_matrix(positives + negatives, marks, root)
+    x = features(positives + negatives, marks, root)
     y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
     cost = np.where(y > 0, len(y) / (2 * max(1, len(positives))), len(y) / (2 * max(1, len(negatives)))) / len(y) * 2000
     w, bias = squared_hinge(x, y, np.where(y > 0, cost, 3 * cost) * 5)
