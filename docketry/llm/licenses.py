@@ -1,10 +1,15 @@
 """License scans by conditional compression.
 
-A text is searched whole, over its line ends. Wherever the rarest of a statement's telling words stands, the words
-around it are aligned with the statement: it counts if every word that tells it from other licences is there and at
-least `similarity` of its words match in order. Every
-statement is tried. The words that differ are reported, and how much smaller the passage gets when it is compressed
-with the licence's templates as a raw zstandard dictionary.
+A text is searched whole, over its line ends. Wherever the rarest of a statement's telling words stands and the others
+are near, a window of the statement's length and a few words more is compressed twice with the same parameters: alone,
+and with the licence's templates as a raw zstandard dictionary. The window is a candidate if the dictionary saves enough
+bytes. What is enough is calibrated for each statement on edited forms of it that the wording may still accept, at half
+of what the worst of them saves less NOISE bytes; every statement is tried, and no number of winners is kept. Candidates are
+confirmed by their exact wording: a statement counts if every word that tells it from other licences is there and at
+least `similarity` of its words match in order. Of one licence's statements that overlap, the one whose passage saves
+most stays. The words that differ are reported, and by what share the dictionary makes the passage smaller.
+
+Words are compressed as they are compared: lower-cased, without punctuation around them, LONGEST characters at most.
 
 Null or empty text: no rows. A line of any length is searched whole, and a statement may be wrapped over lines. Rows that repeat
 are reported each for itself; a null id is kept.
@@ -12,6 +17,8 @@ are reported each for itself; a null id is kept.
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections import Counter
 from difflib import SequenceMatcher
@@ -55,6 +62,10 @@ TEMPLATES: dict[str, list[tuple[str, str]]] = {
     "All-rights-reserved": [("All rights reserved.", "all rights reserved")],
 }
 
+#: Words that a window takes on either side of a statement's place, the characters of a word that are compressed, and the
+#: bytes by which the coding of long foreign words may blur a saving.
+MARGIN, LONGEST, NOISE = 3, 48, 8
+
 
 def wording(text: str) -> list[str]:
     return [w.strip(".,;:()\"'*#/!?").lower() for w in text.split()]
@@ -67,27 +78,46 @@ class Scanner:
         import zstandard as z
 
         self.similarity = similarity
-        # the same parameters with and without a dictionary: otherwise they follow its size
-        params = z.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        # the same parameters with and without a dictionary: otherwise they follow its size; short matches count, and the parsing is the cheapest
+        shape = {"strategy": z.STRATEGY_BTULTRA2, "window_log": 12, "chain_log": 10, "hash_log": 10, "search_log": 6, "min_match": 3, "target_length": 256}
+        params = z.ZstdCompressionParameters(**shape, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain = z.ZstdCompressor(compression_params=params)
         self.statements = {name: [(wording(text), set(telling.split())) for text, telling in own] for name, own in templates.items()}
         self.anchors = anchors(templates)
-        raw = {name: " ".join(text for text, _ in own).encode() for name, own in templates.items()}
+        raw = {name: b" ".join(written(words) for words, _ in own) for name, own in self.statements.items()}
         self.given = {name: z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(text, dict_type=z.DICT_TYPE_RAWCONTENT)) for name, text in raw.items()}
 
-    def reduction(self, name: str, text: str) -> float:
-        raw = text.encode("utf-8", "surrogatepass")
-        return 1 - len(self.given[name].compress(raw)) / len(self.plain.compress(raw))
+        self.least = {name: [self.floor(name, words) for words, _ in own] for name, own in self.statements.items()}
+
+    def saving(self, name: str, words: list[str]) -> tuple[int, float]:
+        """Bytes that the licence's dictionary saves, and their share."""
+        raw = written(words)
+        alone = len(self.plain.compress(raw))
+        saved = alone - len(self.given[name].compress(raw))
+        return saved, saved / alone
+
+    def floor(self, name: str, statement: list[str], forms: int = 48) -> float:
+        """Half of the least saving on forms that the wording may accept: words replaced, the longest first, and others put in, as many as a window holds."""
+        rng, n = random.Random(7), len(statement)
+        spare, least = n - math.ceil(self.similarity * n - 1e-9), math.inf
+        longest = sorted(range(n), key=lambda i: -len(statement[i]))
+        for k in range(forms):
+            letters = "etaoinshrdlu" if k % 2 else "abcdefghijklmnopqrstuvwxyz"
+            other = lambda: "".join(rng.choices(letters, k=rng.randint(1, 12)))  # noqa: B023, E731
+            gone = set((longest if k % 4 < 2 else rng.sample(range(n), n))[: rng.randint(0, spare) if k % 3 else spare])
+            form = [other() if i in gone else w for i, w in enumerate(statement)]
+            for _ in range(rng.randint(0, 2 * MARGIN) if k % 3 else 2 * MARGIN):
+                form.insert(rng.randint(0, len(form)), other())
+            least = min(least, self.saving(name, form)[0])
+        return least / 2 - NOISE
 
     def confirmed(self, lines: list[str]) -> list[tuple[int, int, str, float, float, str]]:
         """(first line, last line, licence, reduction, similarity, differences) of every statement that holds; of those that overlap, one licence's best."""
-        raw, words, line_of = [], [], []
+        words, line_of = [], []
         for i, line in enumerate(lines):
-            for w, plain in zip(line.split(), wording(line)):
-                if plain:  # comment marks are no words
-                    raw.append(w)
-                    words.append(plain)
-                    line_of.append(i)
+            own = [w for w in wording(line) if w]  # comment marks are no words
+            words += own
+            line_of += [i] * len(own)
         places: dict[str, list[int]] = {w: [] for own in self.anchors.values() for w in own}
         for i, w in enumerate(words):
             if w in places:
@@ -95,30 +125,35 @@ class Scanner:
         out = []
         for name, own in self.statements.items():
             found = []
-            for (statement, telling), anchor in zip(own, self.anchors[name]):
+            for (statement, telling), anchor, least in zip(own, self.anchors[name], self.least[name]):
                 first = statement.index(anchor)
                 for at in places[anchor]:
-                    low = max(0, at - first - 3)
-                    near = words[low : max(0, at - first + len(statement) + 3)]
-                    if not telling <= set(near):
+                    low = max(0, at - first - MARGIN)
+                    near = words[low : max(0, at - first + len(statement) + MARGIN)]
+                    if not telling <= set(near) or self.saving(name, near)[0] < least:
                         continue
                     match = SequenceMatcher(None, statement, near, autojunk=False)
                     parts = [m for m in match.get_matching_blocks() if m.size]
                     alike = sum(m.size for m in parts) / len(statement)
                     if alike >= self.similarity:
-                        a, b = parts[0].b, parts[-1].b + parts[-1].size
-                        found.append((-alike, -len(statement), low + a, low + b, statement))
+                        a, b = low + parts[0].b, low + parts[-1].b + parts[-1].size
+                        saved, share = self.saving(name, words[a:b])
+                        found.append((-saved, -alike, a, b, share, statement))
             taken: list[tuple[int, int]] = []
-            for alike, _, a, b, statement in sorted(found):
+            for _, alike, a, b, share, statement in sorted(found):
                 if any(a < y and x < b for x, y in taken):
                     continue
                 taken.append((a, b))
                 steps = SequenceMatcher(None, statement, words[a:b], autojunk=False).get_opcodes()
                 differences = "; ".join(f"{' '.join(statement[i:j])} -> {' '.join(words[a + c : a + d])}" for kind, i, j, c, d in steps if kind != "equal")
-                out.append((line_of[a], line_of[b - 1], name, round(self.reduction(name, " ".join(raw[a:b])), 6), round(-alike, 6), differences))
+                out.append((line_of[a], line_of[b - 1], name, round(share, 6), round(-alike, 6), differences))
         return sorted(out)
 
 
+def written(words: list[str]) -> bytes:
+    return f" {' '.join(w[:LONGEST] for w in words)} ".encode("utf-8", "surrogatepass")
+
+
 def anchors(templates: dict[str, list[tuple[str, str]]]) -> dict[str, list[str]]:
     """Of each statement's telling words, all of which must be there, the one that is rarest among the statements."""
     seen = Counter(w for own in templates.values() for text, _ in own for w in set(wording(text)))

@@ -376,6 +376,31 @@ def test_licenses_wrapped(spark):
     assert want <= got
 
 
+def test_licenses_are_chosen_by_compression(monkeypatch):
+    rng = np.random.default_rng(9)
+    gated, plain = (licenses.Scanner(licenses.TEMPLATES, 0.8) for _ in range(2))
+    plain.least = {name: [-np.inf] * len(own) for name, own in plain.least.items()}
+    accepted = 0
+    for name, own in list(licenses.TEMPLATES.items()) * 20:  # no edited statement that its wording accepts is refused
+        for statement, _ in own:
+            words = statement.split()
+            for i in rng.choice(len(words), int(rng.integers(0, len(words) // 5 + 1)), replace=False):
+                words[i] = "".join(rng.choice(list("abcdefgh"), rng.integers(1, 40)))
+            for _ in range(int(rng.integers(0, 6))):
+                words.insert(int(rng.integers(0, len(words) + 1)), f"w{rng.integers(1 << 40)}")
+            found = plain.confirmed([" ".join(words)])
+            assert gated.confirmed([" ".join(words)]) == found
+            accepted += len(found)
+    assert accepted > 300
+    apart = " ".join(f"x{k} gnu y{k} general z{k} 3" for k in range(50))  # telling words, but no statement
+    aligned, matcher = [], licenses.SequenceMatcher
+    monkeypatch.setattr(licenses, "SequenceMatcher", lambda *a, **o: aligned.append(a[1]) or matcher(*a, **o))
+    assert gated.confirmed([apart]) == [] and len(aligned) < 60  # the long statement's windows are refused by their saving
+    long = licenses.TEMPLATES["Apache-2.0"][1][0].replace("compliance", "agreement")
+    (found,) = gated.confirmed([long])
+    assert found[2] == "Apache-2.0" and found[5] == "compliance -> agreement" and found[3] > 0.5  # the passage that saves most stays
+
+
 # --- LM
 
 
