@@ -24,7 +24,7 @@ def op2_simhash(spark, sf_dir):
 def op3_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     train = toxicity.training_rows(docs, labels.where(held("doc_id", 5) != 0))
-    found = toxicity.score(docs, toxicity.train(train)).withColumnRenamed("id", "doc_id")
+    found = toxicity.score(docs, toxicity.fit(train)).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", (held("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

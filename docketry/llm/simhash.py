@@ -96,8 +96,10 @@ def bit_statistics(fps: DataFrame, column: str = "fp", width: int = 64) -> tuple
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width + 1)), pa.array(np.append(both.ravel(), n).astype(np.int64))], ["k", "c"])
 
-    found = {r["k"]: r["c"] for r in fps.select(column).mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()}
-    return found.get(width * width, 0), np.array([found.get(k, 0) for k in range(width * width)], dtype=float).reshape(width, width)
+    found = fps.select(column).mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()  # arrays: as rows they would fill the driver
+    sums = np.zeros(width * width + 1, dtype=np.int64)
+    sums[found.column("k").to_numpy()] = found.column("c").to_numpy()
+    return int(sums[-1]), sums[:-1].astype(float).reshape(width, width)
 
 
 def group_bits(both: np.ndarray, n: int, m: int) -> list[list[int]]:

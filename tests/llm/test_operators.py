@@ -203,6 +203,20 @@ def test_toxicity_awkward(spark):
     assert toxicity.keep_clean(docs(spark, AWKWARD), none).count() == len(AWKWARD)
 
 
+def test_toxicity_trains_in_a_task(spark, monkeypatch):
+    import os
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice([f"word{k}" for k in range(90)], 30)) + (" grumblex vexidork" if i % 4 == 0 else "")) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    want = toxicity.train([(text, int(i % 4 == 0)) for i, text in rows])
+    got = toxicity.fit(toxicity.training_rows(docs(spark, rows), labels))
+    assert (got.weight == want.weight).all() and got.bias == want.bias and np.allclose(got.curve, want.curve, rtol=1e-9, atol=0)
+    where = lambda rows: toxicity.Machine(np.zeros(1, dtype=np.float32), 0.0, [0.0, 0.0, float(os.getpid())])
+    monkeypatch.setattr(toxicity, "train", where)
+    assert toxicity.fit(toxicity.training_rows(docs(spark, rows), labels)).curve[2] != os.getpid()  # the driver holds no text
+
+
 # --- mixing
 
 
