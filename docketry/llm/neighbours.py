@@ -2,8 +2,9 @@
 
 Unit vectors are projected on m random Gaussian directions, and every projection is sorted. Around a query's value
 lies a window; all that a projection's sorted list holds between the window's ends, found by binary search, collides
-with the query. Collisions are counted for each pair, and pairs with `least` or more are verified with their cosine
-in double precision. The difference of two unit vectors along a Gaussian direction is normal with their distance as
+with the query. What stands before each place of a sorted list is kept as a set of bits, so a window is the difference
+of two sets, and collisions are counted for 64 pairs at once, bit by bit of the counts. Pairs with `least` or more are
+verified with their cosine in double precision. The difference of two unit vectors along a Gaussian direction is normal with their distance as
 deviation, so m, the window and `least` are calibrated in closed form: of the choices that pass a pair at the
 threshold cosine with the recall asked for, the one of least expected work on unrelated vectors is taken.
 
@@ -29,9 +30,13 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize
 from .topk import matrix, whole_vectors
 
-BLOCK, SLICE = 4096, 512
-#: Verifying a pair costs as much as counting so many collisions.
-VERIFY_COST = 40
+BLOCK, SLICE = 8192, 512
+#: Vectors whose sets of bits lie in one table: a window's ends are looked up there.
+TABLE = 1024
+#: Verifying a pair costs as much as counting on so many projections.
+VERIFY_COST = 1000
+#: Pairs that are gathered at once to be verified; above this share of a slice's pairs the whole slice is multiplied.
+GATHER, DENSE = 16_384, 0.05
 
 
 def tails(m: int, p: float) -> np.ndarray:
@@ -51,7 +56,7 @@ def calibrate(threshold: float, recall: float, most: int = 64) -> tuple[int, flo
             near, far = tails(m, math.erf(window / apart / math.sqrt(2))), math.erf(window / 2)
             least = int(np.flatnonzero(near >= recall)[-1])
             passed = float(tails(m, far)[least])
-            work = m * far + VERIFY_COST * passed
+            work = m + VERIFY_COST * passed
             if least and (best is None or work < best[0]):
                 best = work, m, window, least, float(near[least]), passed
     return best[1:]
@@ -63,14 +68,60 @@ def projected(unit: np.ndarray, m: int, seed: int) -> np.ndarray:
     return np.ascontiguousarray((unit @ directions).T)
 
 
+def prefixes(orders: list[np.ndarray]) -> list[np.ndarray]:
+    """For every order of the same n vectors: of each place, which vectors stand before it, as a row of bits."""
+    out, n = [], len(orders[0])
+    bit = np.uint64(1) << (np.arange(n, dtype=np.uint64) & np.uint64(63))
+    for order in orders:
+        sets = np.zeros((n + 1, -(-n // 64)), dtype="<u8")
+        sets[np.arange(1, n + 1), order >> 6] = bit[order]
+        out.append(np.bitwise_or.accumulate(sets, axis=0))
+    return out
+
+
+def planes(rows: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], window: float) -> list[np.ndarray]:
+    """rows: values, one row a direction; lists: sorted values and the sets before each place. The bits of the counts of collisions, lowest first."""
+    out: list[np.ndarray] = []
+    for values, (ordered, sets) in zip(rows, lists):
+        low, high = np.searchsorted(ordered, values - window), np.searchsorted(ordered, values + window, side="right")
+        carry = sets[high] ^ sets[low]
+        for k, plane in enumerate(out):
+            out[k], carry = plane ^ carry, plane & carry
+        if len(out) < len(lists).bit_length():
+            out.append(carry)
+    return out
+
+
+def reached(counts: list[np.ndarray], least: int) -> np.ndarray:
+    """Bits of the counts that are `least` or more."""
+    more, same = np.zeros_like(counts[0]), ~np.zeros_like(counts[0])
+    for k in range(len(counts) - 1, -1, -1):
+        if least >> k & 1:
+            same = same & counts[k]
+        else:
+            more = more | (same & counts[k])
+            same = same & ~counts[k]
+    return more | same if not least >> len(counts) else np.zeros_like(more)
+
+
+def unpacked(words: np.ndarray, n: int) -> np.ndarray:
+    """Rows of n bits."""
+    return np.unpackbits(np.ascontiguousarray(words, dtype="<u8").view(np.uint8), axis=1, count=n, bitorder="little")
+
+
 def collisions(rows: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], window: float) -> np.ndarray:
     """rows: values, one row a direction; lists: sorted values and whose they are. How often each of the rows meets each of the lists' vectors."""
-    counts = np.zeros((rows.shape[1], len(lists[0][0])), dtype=np.uint8)
-    for values, (ordered, order) in zip(rows, lists):
-        low, high = np.searchsorted(ordered, values - window), np.searchsorted(ordered, values + window, side="right")
-        for own, a, b in zip(counts, low.tolist(), high.tolist()):
-            own[order[a:b]] += 1
-    return counts
+    sets = prefixes([order for _, order in lists])
+    counts = planes(rows, [(ordered, own) for (ordered, _), own in zip(lists, sets)], window)
+    return sum(unpacked(c, len(lists[0][0])) << np.uint8(k) for k, c in enumerate(counts))
+
+
+def alike(unit_a: np.ndarray, unit_b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs i, j have the cosine."""
+    if len(i) > DENSE * len(unit_a) * len(unit_b):
+        return (unit_a @ unit_b.T)[i, j] >= threshold
+    parts = [np.einsum("ij,ij->i", unit_a[i[s : s + GATHER]], unit_b[j[s : s + GATHER]]) >= threshold for s in range(0, len(i), GATHER)]
+    return np.concatenate([*parts, np.empty(0, dtype=bool)])
 
 
 def joins(adjacent: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
@@ -96,22 +147,29 @@ def block_links(ids_a, x_a, w_a, ids_b, x_b, w_b, *, same: bool, threshold: floa
     m, window, least = plan[:3]
     unit_a, unit_b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (x_a, x_b))
     values_a, values_b = projected(unit_a, m, seed), projected(unit_b, m, seed)
-    order = np.argsort(values_b, axis=1)
-    lists = [(v[o], o) for v, o in zip(values_b, order)]
     count_a, count_b, edges = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64), []
-    for at in range(0, len(ids_a), SLICE):
-        to = min(at + SLICE, len(ids_a))
-        passed = collisions(values_a[:, at:to], lists, window) >= least
-        if same:
-            passed[np.arange(to - at), np.arange(at, to)] = False
-        rows, columns = np.flatnonzero(passed.any(axis=1)), np.flatnonzero(passed.any(axis=0))
-        if not len(rows):
-            continue
-        linked = passed[np.ix_(rows, columns)] & (unit_a[at + rows] @ unit_b[columns].T >= threshold)
-        count_a[at + rows] += linked @ w_b[columns]
-        if not same:
-            count_b[columns] += w_a[at + rows] @ linked
-        edges += joins(linked, ids_a[at + rows], ids_b[columns])
+    for begin in range(0, len(ids_b), TABLE):
+        end = min(begin + TABLE, len(ids_b))
+        order = np.argsort(values_b[:, begin:end], axis=1)
+        lists = [(v[o], sets) for v, o, sets in zip(values_b[:, begin:end], order, prefixes(list(order)))]
+        # a block meets itself at i < j, so rows behind the table are left out
+        for at in range(0, end if same else len(ids_a), SLICE):
+            to = min(at + SLICE, len(ids_a))
+            i, j = np.nonzero(unpacked(reached(planes(values_a[:, at:to], lists, window), least), end - begin))
+            i, j = i + at, j + begin
+            if same:
+                once = i < j
+                i, j = i[once], j[once]
+            if not len(i):
+                continue
+            ok = alike(unit_a[at:to], unit_b[begin:end], i - at, j - begin, threshold)
+            i, j = i[ok], j[ok]
+            np.add.at(count_a, i, w_b[j])
+            np.add.at(count_a if same else count_b, j, w_a[i])
+            rows, columns = np.unique(i), np.unique(j)
+            linked = np.zeros((len(rows), len(columns)), dtype=bool)
+            linked[np.searchsorted(rows, i), np.searchsorted(columns, j)] = True
+            edges += joins(linked, ids_a[rows], ids_b[columns])
     return count_a, count_b, edges
 
 

@@ -339,6 +339,29 @@ def test_embeddings_count_window_collisions():
     assert (got == (np.abs(a[:, :, None] - b[:, None, :]) <= window).sum(axis=0)).all()
 
 
+@pytest.mark.parametrize("n", [1, 63, 130, 700])
+def test_embeddings_blocks_are_brute_force(monkeypatch, n):
+    """Links of blocks of any size, copies weighed, gathered pairs and whole slices alike; few unrelated pairs are verified."""
+    monkeypatch.setattr(neighbours, "TABLE", 128)
+    monkeypatch.setattr(neighbours, "SLICE", 100)
+    plan = neighbours.calibrate(0.9, 0.995)
+    assert plan[4] < 0.01
+    rng = np.random.default_rng(n)
+    x = np.repeat(rng.standard_normal((n // 3 + 1, 16)), 3, axis=0)[:n] + 0.15 * rng.standard_normal((n, 16))
+    ids, weight, unit = np.arange(n), rng.integers(1, 5, n), x / np.linalg.norm(x, axis=1, keepdims=True)
+    values = neighbours.projected(unit, plan[0], 6)
+    near = (np.abs(values[:, :, None] - values[:, None, :]) <= plan[1]).sum(axis=0) >= plan[2]
+    want = near & (unit @ unit.T >= 0.9)
+    for dense in (0.0, 1.0):
+        monkeypatch.setattr(neighbours, "DENSE", dense)
+        inside = want & ~np.eye(n, dtype=bool)
+        count, _, edges = neighbours.block_links(ids, x, weight, ids, x, weight, same=True, threshold=0.9, seed=6, plan=plan)
+        assert (count == inside @ weight).all() and components(n, edges) == components(n, np.argwhere(inside).tolist())
+        h = n // 2
+        a, b, _ = neighbours.block_links(ids[:h], x[:h], weight[:h], ids[h:], x[h:], weight[h:], same=False, threshold=0.9, seed=6, plan=plan)
+        assert (a == want[:h, h:] @ weight[h:]).all() and (b == weight[:h] @ want[:h, h:]).all()
+
+
 def test_embeddings_recall_on_the_table(spark):
     """Measured against all exact pairs of the driver's table."""
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
