@@ -162,6 +162,11 @@ def joined_runs(found: DataFrame) -> DataFrame:
     return merged.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """A step's table. Its shuffle is as large as the text or the lines, so it goes before the next step's is written."""
+    return materialize(df, label, free=True)
+
+
 def repeated_runs(docs: DataFrame, *, id_col="doc_id", text_col="text", min_words=50) -> tuple[DataFrame, DataFrame]:
     """(sizes, runs): (id, th, n_words) of every row, and (id, th, runs array<(first, last)>) of words that go.
 
@@ -169,36 +174,37 @@ def repeated_runs(docs: DataFrame, *, id_col="doc_id", text_col="text", min_word
     least has a row in `runs` (null: nothing goes), so what has none is a copy.
     """
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    sizes = materialize(select_lines(own, min_words), "lines")
+    sizes = stored(select_lines(own, min_words), "lines")
     texts = sizes.groupBy("th").agg(F.min(F.struct("id")).alias("least")).select(F.col("least.id").alias("id"), "th")
-    texts = materialize(texts, "texts")
+    texts = stored(texts, "texts")
     # counts, leaders and the like are tables before they are joined: so a line that stands everywhere is split over tasks
     once = sizes.where(F.size("lines") > 0).alias("a").join(texts.hint("merge").alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th")), "left_semi")
-    places = materialize(once.select("th", F.explode("lines").alias("l")).select("l.line", "th", "l.at"), "places")
-    shared = materialize(places.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "shared")
+    places = stored(once.select("th", F.explode("lines").alias("l")).select("l.line", "th", "l.at"), "places")
+    shared = stored(places.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "shared")
     needed = places.join(shared.hint("merge"), "line", "left_semi").groupBy("th").agg(F.collect_list("at").alias("at"))
-    needed = needed.join(texts, "th").select(F.col("id").alias("__dk_id"), F.col("th").alias("__dk_th"), "at")
+    # a table, so that the lines' shuffle has gone when the texts' begins
+    needed = stored(needed.join(texts, "th").select(F.col("id").alias("__dk_id"), F.col("th").alias("__dk_th"), "at"), "needed")
     asked = own.join(needed.hint("merge"), F.col("id").eqNullSafe(F.col("__dk_id")) & (F.col("th") == F.col("__dk_th"))).select("id", "th", "text", "at")
-    seen = materialize(with_context(asked, min_words), "selected")
+    seen = stored(with_context(asked, min_words), "selected")
 
     place = F.struct("id", "th", "at", "around")
-    leaders = materialize(seen.groupBy("line").agg(F.min(place).alias("leader")), "leaders")
+    leaders = stored(seen.groupBy("line").agg(F.min(place).alias("leader")), "leaders")
     pairs = seen.join(leaders.hint("merge"), "line").withColumn("same", F.col("id").eqNullSafe(F.col("leader.id")) & (F.col("th") == F.col("leader.th")))
     pairs = pairs.where(~F.col("same") | (F.col("at") != F.col("leader.at")))
     pairs = pairs.select("id", "th", "at", "low", "high", "around", "line", F.col("leader.at").alias("leader_at"), F.col("leader.around").alias("leader_around"), "same")
-    found = materialize(extended(pairs, min_words), "extended")
+    found = stored(extended(pairs, min_words), "extended")
 
     windows = found.where("hi is not null")
     place = F.struct("id", "th", "first")
     first = windows.groupBy("hi", "lo").agg(F.min(place).alias("leader"), F.max(place).alias("tail")).where("leader != tail").drop("tail")
-    first = materialize(first, "first")
+    first = stored(first, "first")
     later = windows.join(first.hint("merge"), ["hi", "lo"])
     apart = ~(F.col("id").eqNullSafe(F.col("leader.id")) & (F.col("th") == F.col("leader.th"))) | (F.col("first") - F.col("leader.first") >= min_words)
     later = later.where((place > F.col("leader")) & apart).select("id", "th", "first", "last")
     every = joined_runs(found.where("hi is null").select("id", "th", "first", "last").unionByName(later))
     every = every.select(F.col("id").alias("__dk_id"), F.col("th").alias("__dk_th"), "runs")
     runs = texts.join(every.hint("merge"), F.col("id").eqNullSafe(F.col("__dk_id")) & (F.col("th") == F.col("__dk_th")), "left").select("id", "th", "runs")
-    return sizes.select("id", "th", "n_words"), materialize(runs, "runs")
+    return sizes.select("id", "th", "n_words"), stored(runs, "runs")
 
 
 def cut(text: str, runs: list[tuple[int, int]]) -> str:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.llm import licenses, lines, lm, mixing, neighbours, packing, pii, queries, simhash, topk, toxicity
+from docketry.session import FREE_SHUFFLES
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -166,6 +168,25 @@ def test_lines_awkward(spark):
     assert lines.line_report(df.limit(0)).count() == 0 and lines.dedup_lines(df.limit(0)).columns == df.columns
 
 
+def test_lines_free_their_shuffles(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (found.apply(i).getName() for i in range(found.size())) if f.startswith("shuffle_")}
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    df = docs(spark, [(i, f"own{i} {passage} {i}") for i in range(40)]).repartition(3, "doc_id").cache()  # its own shuffle stays usable
+    assert df.count() == 40
+    setting, before = spark.conf.get(FREE_SHUFFLES), files()
+    report = lines.line_report(df)
+    until = time.time() + 10
+    while files() - before and time.time() < until:  # executors delete them in their own time
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(FREE_SHUFFLES) == setting
+    got = {r["id"]: r["removed"] for r in report.collect()}
+    assert got == {i: "1-60" if i else "" for i in range(40)} == {r["id"]: r["removed"] for r in lines.line_report(df).collect()}
+    df.unpersist()
+
+
 # --- toxicity
 
 
